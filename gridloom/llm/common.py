@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.plans.shipping import ship
+
 #: A word, by the contracts: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step holds at a time (a single longer text is a step of its own).
@@ -90,6 +92,7 @@ def map_text(df: DataFrame, columns: list[str], fn: Callable[[dict, list[bytes]]
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
     names = list(columns)
 
@@ -138,6 +141,7 @@ def id_filter(ids: DataFrame, column: str) -> Callable[[DataFrame, str], tuple[D
     )
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    ship(spark)
     held = spark.sparkContext.broadcast(bits.tobytes())
 
     @F.pandas_udf("boolean")

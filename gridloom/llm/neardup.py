@@ -117,6 +117,19 @@ def _pairs(rows: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).where("a < b").select("a", "b")
 
 
+def _bounded_sets(pool: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(node, names, n, s): each pooled document's set, its size, and how many of its shingles any other pooled document has.
+
+    No intersection inside the pool exceeds s, which settles most pairs of a dense group without comparing them.
+    """
+    maybe, _ = id_filter(pool, "node")(docs, "doc_id")
+    sets = scratch.table(_sets(maybe.join(pool, maybe.doc_id == pool.node, "left_semi"), width).distinct())
+    each = sets.select("node", F.explode("names").alias("name"))
+    common = each.groupBy("name").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("name")
+    shared = each.join(common, "name").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+    return sets.withColumn("n", F.size("names")).join(shared, "node")
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between classes, enough of them that their components are those of all links."""
     # retained names with the one and the two that follow
@@ -151,8 +164,20 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int,
         else:  # all others against each list's documents, but for pairs inside a component
             sizes = dense.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
             main = sizes.groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-            rest = dense.join(main, "k").where("c <> main").select("k", F.col("node").alias("x"), F.col("c").alias("cx"), "main")
-            todo = rest.join(dense, "k").where("c <> cx and (c = main or node < x)").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+            lists = dense.groupBy("node").agg(F.collect_set("k").alias("ks"))
+            held = _bounded_sets(dense.select("node").distinct(), docs, width, scratch).join(lists, "node")
+            full = scratch.table(dense.join(held, "node").join(main, "k"))
+            rest = full.where("c <> main").select("k", *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "names", "n", "s", "ks")])
+            both = "size(array_intersect(names, x_names))"
+            links = links.union(
+                rest.join(full, "k").where(
+                    "c <> x_c and (c = main or node < x_node)"
+                    f" and least(s, x_s) * {100 + percent} >= {percent} * (n + x_n)"
+                    " and k = array_min(array_intersect(ks, x_ks))"
+                    f" and {both} * 100 >= (n + x_n - {both}) * {percent}"
+                ).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"))
+            )
+            return scratch.table(links)
         dense = dense.drop("c")
         links = scratch.table(links.union(_confirm(todo, classes, docs, width, percent, scratch)))
     return links
