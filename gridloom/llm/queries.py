@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import neardup
+from gridloom.llm import mixing, neardup, packing, tiff
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,41 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_docs(spark, sf_dir), width=4, percent=80)
 
 
+def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.stored_digests(_docs(spark, sf_dir))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_pack_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+OP6_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+           substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
+a AS (SELECT *, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS budget, sum(w) OVER () AS w_all,
+      row_number() OVER (ORDER BY 2 * source_size / w, encode(source) NULLS LAST) AS k FROM r),
+b AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS c,
+      coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb FROM a),
+l AS (SELECT *, (budget - c) / (w_all - wb) AS level FROM b),
+f AS (SELECT arg_min(level, k) AS fill FROM l WHERE 2 * source_size >= level * w),
+t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, fill * w) AS target FROM l, f),
+u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS whole FROM t),
+x AS (SELECT d.doc_id, d.size, u.source_size, u.target, u.whole, floor(u.target)::BIGINT - u.whole * u.source_size AS rest,
+      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mix": OP6_SQL}
