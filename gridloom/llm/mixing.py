@@ -100,6 +100,6 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     got = docs.join(plan, docs.doc_id.eqNullSafe(plan._id) & docs.source.eqNullSafe(plan._s) & (F.coalesce(F.regexp_count(docs.text, F.lit(WORD)), F.lit(0)) == plan.size))
     got = got.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     keep = F.col("taken") - (F.col("_i") - 1) * F.col("size")
-    spans = F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), keep.cast("int"))
+    spans = F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), keep.cast("int") + F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int"))
     cut = F.when(keep >= F.col("size"), F.col("text")).otherwise(F.rtrim(F.concat_ws("", spans)))
     return got.select(*[cut.alias("text") if c == "text" else F.col(c) for c in docs.columns])
