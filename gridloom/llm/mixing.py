@@ -63,7 +63,7 @@ def thresholds(rows: DataFrame, goal: DataFrame, scratch: Scratch) -> DataFrame:
         sums = mine.groupBy("source", "left", bucket.alias("b")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
         upto = F.sum("n").over(W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, 0))
         edge = sums.withColumn("upto", upto).where("upto - n < left and left <= upto").select(F.col("source").alias("s"), F.col("b"), (F.col("left") - F.col("upto") + F.col("n")).alias("rest"), "n", "rows")
-        old = g
+        old, g = g, g.drop("rows")
         g = scratch.table(
             g.join(edge, g.source.eqNullSafe(edge.s), "left").select(
                 "source", "source_size", "target", "whole", F.coalesce("rest", "left").alias("left"),

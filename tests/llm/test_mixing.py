@@ -58,3 +58,8 @@ def test_apply_takes_what_the_mix_says(spark):
     for r in out.collect():
         got[r.doc_id] += len(r.text.split())
     assert set(got.items()) == want
+
+
+def test_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 4)
+    check(cases.docs(spark, [(i, "w " * (1 + i % 5), None, f"s{i % 4}") for i in range(3000)]))
