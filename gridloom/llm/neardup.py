@@ -125,9 +125,8 @@ def _bounded_sets(pool: DataFrame, docs: DataFrame, width: int, scratch: Scratch
     maybe, _ = id_filter(pool, "node")(docs, "doc_id")
     sets = scratch.table(_sets(maybe.join(pool, maybe.doc_id == pool.node, "left_semi"), width).distinct())
     each = sets.select("node", F.explode("names").alias("name"))
-    common = each.groupBy("name").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("name")
-    shared = each.join(common, "name").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
-    return sets.withColumn("n", F.size("names")).join(shared, "node")
+    alone = each.groupBy("name").agg(F.count(F.lit(1)).alias("in"), F.min("node").alias("node")).where("in = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return sets.withColumn("n", F.size("names")).join(alone, "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
