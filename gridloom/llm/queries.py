@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import langid, mixing, neardup, packing, quality, tiff, toxicity
+from gridloom.llm import embed, langid, mixing, neardup, packing, quality, substring, tiff, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_docs(spark, sf_dir), width=4, percent=80)
 
 
+def op3_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_digests(_docs(spark, sf_dir))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digests(_docs(spark, sf_dir))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
