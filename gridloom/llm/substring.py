@@ -115,66 +115,54 @@ def _digests(docs: DataFrame) -> DataFrame:
         words, counts = tokens.word_hashes(texts)
         end = np.cumsum(counts)
         d = [tokens.span_hashes(words, end - counts, end, seed=k).view(np.int64) for k in (17, 19)]
-        return {"doc_id": keys["doc_id"], "n_words": counts, "d": d[0], "e": d[1]}
+        return {"doc_id": keys["doc_id"], "t": keys["t"], "n_words": counts, "d": d[0], "e": d[1]}
 
-    return map_text(docs, ["doc_id", "text"], run, "doc_id long, n_words long, d long, e long")
+    return map_text(docs, ["doc_id", "t", "text"], run, "doc_id long, t long, n_words long, d long, e long")
 
 
 def _ranges(docs: DataFrame, window: int) -> DataFrame:
     def run(keys, texts):
         words, counts = tokens.word_hashes(texts)
-        end = np.cumsum(counts)
-        d = tokens.span_hashes(words, end - counts, end, seed=17).view(np.int64)
         row, s, n, key, span = ranges(words, counts, window)
-        ids = np.array(keys["doc_id"], np.int64)
-        return {"doc_id": ids[row], "d": d[row], "s": s.astype(np.int32), "n": n.astype(np.int32), "key": key.view(np.int64), "span": span.view(np.int64)}
+        ids, t = np.array(keys["doc_id"], np.int64), np.array(keys["t"], np.int64)
+        return {"doc_id": ids[row], "t": t[row], "s": s.astype(np.int32), "n": n.astype(np.int32), "key": key.view(np.int64), "span": span.view(np.int64)}
 
-    return map_text(docs, ["doc_id", "text"], run, "doc_id long, d long, s int, n int, key long, span long")
+    return map_text(docs, ["doc_id", "t", "text"], run, "doc_id long, t long, s int, n int, key long, span long")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """docs: (r: doc_id, d and at, an array of (s, n, key); text) -> a row for each window of the ranges."""
+    """docs: (r: doc_id, t and at, an array of (s, n, key); text) -> a row for each window of the ranges."""
 
     def run(keys, texts):
         words, counts = tokens.word_hashes(texts)
         h1, h2 = tokens.window_hashes(words, window, seed=23), tokens.window_hashes(words, window, seed=29)
         begin = np.cumsum(counts) - counts
-        out = {c: [] for c in ("doc_id", "d", "s", "key", "h1", "h2")}
+        out = {c: [] for c in ("doc_id", "t", "s", "key", "h1", "h2")}
         for r, b in zip(keys["r"], begin.tolist(), strict=True):
             for a in r["at"]:
                 s = np.arange(a["s"], a["s"] + a["n"])
-                for c, v in zip(out, (np.full(len(s), r["doc_id"]), np.full(len(s), r["d"]), s, np.full(len(s), a["key"]), h1[b + s].view(np.int64), (h2[b + s] >> np.uint64(33)).astype(np.int64)), strict=True):
+                for c, v in zip(out, (np.full(len(s), r["doc_id"]), np.full(len(s), r["t"]), s, np.full(len(s), a["key"]), h1[b + s].view(np.int64), (h2[b + s] >> np.uint64(33)).astype(np.int64)), strict=True):
                     out[c].append(v)
         return {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()} | {"h2": np.concatenate(out["h2"]).astype(np.int32) if out["h2"] else np.zeros(0, np.int32), "s": np.concatenate(out["s"]).astype(np.int32) if out["s"] else np.zeros(0, np.int32)}
 
-    return map_text(docs, ["r", "text"], run, "doc_id long, d long, s int, key long, h1 long, h2 int")
+    return map_text(docs, ["r", "text"], run, "doc_id long, t long, s int, key long, h1 long, h2 int")
 
 
-def _digest_of(text: bytes) -> int:
-    words, counts = tokens.word_hashes([text])
-    return int(tokens.span_hashes(words, np.array([0]), counts, seed=17).view(np.int64)[0])
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id, t and text; t, a hash of the text, tells rows with one doc_id apart."""
+    return only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("t"), "text")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, d, spans), (doc_id, n_words, d, e): the word ranges to remove, of documents that have any, and every row's digests."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, t, spans): the word ranges [a, z) to remove, of documents that have any."""
     scratch = Scratch(docs.sparkSession)
-    docs = only(docs, "doc_id", "text")
-    seen = scratch.table(_digests(docs))
-    long_ = seen.where(F.col("n_words") >= window).where("doc_id is not null")
-    first = long_.groupBy("d", "e").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copies = scratch.table(long_.join(first, ["d", "e"]).where("doc_id > low").select("doc_id", "d", "n_words").distinct())
-    named = docs.where("doc_id is not null")
-    maybe, surely = id_filter(copies, "doc_id")(named, "doc_id")
-    # rows that may be copies: those whose doc_id and words are listed leave
-    listed = copies.groupBy("doc_id").agg(F.collect_set("d").alias("ds"))
-
-    def fresh(batches):
-        for b in batches:
-            keep = [not ds or _digest_of((t or "").encode()) not in ds for t, ds in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    left = maybe.join(listed, "doc_id", "left").select("doc_id", "text", "ds").mapInArrow(fresh, "doc_id long, text string")
-    single = surely.union(left)
+    docs = _identified(docs).where("doc_id is not null")
+    seen = scratch.table(_digests(docs).where(F.col("n_words") >= window))
+    first = seen.groupBy("d", "e").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    copies = scratch.table(seen.join(first, ["d", "e"]).where("doc_id > low").select("doc_id", "t", "n_words").distinct())
+    scratch.drop(seen)
+    maybe, surely = id_filter(copies, "doc_id")(docs, "doc_id")
+    single = surely.union(maybe.join(copies, ["doc_id", "t"], "left_anti").select(*surely.columns))
     all_ranges = scratch.table(_ranges(single, window))
     shared = all_ranges.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     met = scratch.table(all_ranges.join(shared, "key"))
@@ -182,47 +170,35 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     firsts = scratch.table(met.groupBy("key", "span").agg(F.min("doc_id").alias("first")))
     open_ = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.lit(True).alias("open"))
     judged = scratch.table(met.join(firsts, ["key", "span"]).join(open_, "key", "left"))
-    whole = judged.where("first < doc_id").select("doc_id", "d", F.col("s").cast("int").alias("a"), (F.col("s") + F.col("n") + (window - 1)).cast("int").alias("z"))
-    ask = judged.where("first = doc_id and open").groupBy("doc_id", "d").agg(F.collect_list(F.struct("s", "n", "key")).alias("at"))
-    ask = scratch.table(ask)
-    texts, _ = id_filter(ask, "doc_id")(named, "doc_id")
-
-    def right(batches):  # of rows with one doc_id, those with the asked words
-        for b in batches:
-            keep = [_digest_of((t or "").encode()) == r["d"] for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    asked = texts.join(ask, "doc_id").select(F.struct("doc_id", "d", "at").alias("r"), "text")
-    wins = scratch.table(_windows(asked.mapInArrow(right, asked.schema), window).distinct())
+    scratch.drop(met)
+    whole = judged.where("first < doc_id").select("doc_id", "t", F.col("s").cast("int").alias("a"), (F.col("s") + F.col("n") + (window - 1)).cast("int").alias("z"))
+    # at most one entry for each window of a document
+    ask = scratch.table(judged.where("first = doc_id and open").groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n", "key")).alias("at")))
+    texts, _ = id_filter(ask, "doc_id")(docs, "doc_id")
+    asked = texts.join(ask, ["doc_id", "t"]).select(F.struct("doc_id", "t", "at").alias("r"), "text")
+    wins = scratch.table(_windows(asked, window))
     early = wins.groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "h1", "h2", "low")
-    part = wins.join(early, ["key", "h1", "h2"]).where("doc_id > low").select("doc_id", "d", F.col("s").alias("a"), (F.col("s") + window).cast("int").alias("z"))
-    copied = copies.select("doc_id", "d", F.lit(0).alias("a"), F.col("n_words").cast("int").alias("z"))
-    spans = scratch.table(whole.union(part).union(copied).groupBy("doc_id", "d").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
-    return spans, seen
+    part = wins.join(early, ["key", "h1", "h2"]).where("doc_id > low").select("doc_id", "t", F.col("s").alias("a"), (F.col("s") + window).cast("int").alias("z"))
+    copied = copies.select("doc_id", "t", F.lit(0).alias("a"), F.col("n_words").cast("int").alias("z"))
+    return scratch.table(whole.union(part).union(copied).groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the words that stay, joined by one space."""
-    spans, _ = repeated_spans(docs, window)
-    docs = only(docs, "doc_id", "text")
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("d", "spans")).alias("lists"))
-    maybe, surely = id_filter(spans, "doc_id")(docs.where("doc_id is not null"), "doc_id")
-    surely = surely.union(docs.where("doc_id is null"))
-    plain = surely.select(F.struct("doc_id", F.lit(None).cast(dict(lists.dtypes)["lists"]).alias("lists")).alias("r"), "text")
-    touched = maybe.join(lists, "doc_id", "left").select(F.struct("doc_id", "lists").alias("r"), "text")
+    spans = repeated_spans(docs, window)
+    maybe, surely = id_filter(spans, "doc_id")(_identified(docs), "doc_id")
+    plain = surely.select(F.struct("doc_id", F.lit(None).cast(dict(spans.dtypes)["spans"]).alias("spans")).alias("r"), "text")
+    touched = maybe.join(spans, ["doc_id", "t"], "left").select(F.struct("doc_id", "spans").alias("r"), "text")
 
     def run(keys, texts):
         out = {"doc_id": [r["doc_id"] for r in keys["r"]], "n_words": [], "n_removed": [], "kept": []}
-        for r, t in zip(keys["r"], texts, strict=True):
-            words = t.split()
+        for r, text in zip(keys["r"], texts, strict=True):
+            words = text.split()
             n = len(words)
-            if r["lists"]:
-                d = _digest_of(t)
+            if r["spans"]:
                 mark = np.zeros(n + 1, np.int64)
-                for item in r["lists"]:
-                    if item["d"] == d:
-                        np.add.at(mark, [x["a"] for x in item["spans"]], 1)
-                        np.add.at(mark, [x["z"] for x in item["spans"]], -1)
+                np.add.at(mark, [x["a"] for x in r["spans"]], 1)
+                np.add.at(mark, [x["z"] for x in r["spans"]], -1)
                 words = [w for w, c in zip(words, np.cumsum(mark).tolist(), strict=False) if not c]
             out["n_words"].append(n)
             out["n_removed"].append(n - len(words))
