@@ -19,6 +19,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,17 +104,23 @@ class Model:
 def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE, fairness: float = FAIRNESS) -> tuple[np.ndarray, float]:
     """Newton steps on logistic loss + ridge/2 |w|^2 + fairness/2 |change w|^2; a row of change is x less its swapped form."""
     n, k = x.shape
-    design = np.column_stack((x, np.ones(n, x.dtype)))
     penalty = np.zeros((k + 1, k + 1))
-    penalty[:k, :k] = ridge * np.eye(k) + fairness * (change.T @ change if len(change) else 0)
+    penalty[:k, :k] = ridge * np.eye(k)
+    for at in range(0, len(change), 1024):
+        c = change[at : at + 1024].astype(np.float32)
+        penalty[:k, :k] += fairness * (c.T @ c)
     beta = np.zeros(k + 1)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -40, 40)))
-        grad = design.T @ (p - y) + penalty @ beta
-        hess = (design * np.maximum(p * (1 - p), 1e-6)[:, None].astype(design.dtype)).T @ design + penalty + 1e-6 * np.eye(k + 1)
+        grad, hess = penalty @ beta, penalty + 1e-6 * np.eye(k + 1)
+        for at in range(0, n, 1024):  # blocks of rows: the matrix stays in bytes
+            block = np.ones((min(1024, n - at), k + 1), np.float32)
+            block[:, :k] = x[at : at + 1024]
+            p = 1 / (1 + np.exp(-np.clip(block @ beta.astype(np.float32), -40, 40)))
+            grad += block.T @ (p - y[at : at + 1024]).astype(np.float32)
+            hess += (block * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ block
         step = np.linalg.solve(hess, grad)
         beta -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return beta[:-1], float(beta[-1])
 
@@ -165,20 +172,30 @@ def train(docs: DataFrame, known: DataFrame, positives: int = POSITIVES, negativ
             rows_["g"].append(None if s is None else sorted(place[f] for f in features(s, cache)))
         return rows_
 
-    got = map_text(rows, ["y", "text"], vectors, "y int, f array<int>, g array<int>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["y"], r["f"]))
-    x = np.zeros((len(got), len(ids)), np.float32)
-    change = []
-    for i, r in enumerate(got):
-        x[i, r["f"]] = 1
-        if r["g"] is not None:
-            d = x[i].copy()
-            d[r["g"]] -= 1
-            change.append(d)
-    w, b = fit(x, np.array([r["y"] for r in got], float), np.array(change, np.float32), ridge, fairness)
+    got = map_text(rows, ["y", "text"], vectors, "y int, f array<int>, g array<int>").toArrow().combine_chunks()
+
+    def binary(column) -> np.ndarray:
+        out = np.zeros((len(column), len(ids)), np.int8)
+        for part, at in _chunks(column):
+            sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out[np.repeat(np.arange(len(part)), sizes) + at, part.flatten().to_numpy()] = 1
+        return out
+
+    x, y = binary(got["f"]), got["y"].to_numpy().astype(np.float64)
+    some = ~got["g"].is_null().to_numpy()
+    change = x[some] - binary(got["g"].filter(pa.array(some)))
+    order = np.lexsort((np.packbits(x, axis=1)[:, :8].astype(np.uint64) @ (np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)), x.sum(1), y))
+    w, b = fit(x[order], y[order], change, ridge, fairness)
     return Model(ids, w, b)
 
 
+def _chunks(column):
+    at = 0
+    for part in column.chunks:
+        yield part, at
+        at += len(part)
+
+
 def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """The named columns (of simple types) and score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
