@@ -149,7 +149,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int,
     links = _confirm(first, classes, docs, width, percent, scratch)
     for t in (posted, more, more2):
         scratch.drop(t)
-    for round_ in range(3):
+    for round_ in range(2):
         if not dense.limit(1).count():
             return links
         # the dense lists' documents with their component so far; lists of one component are done
@@ -157,7 +157,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int,
         held = dense.join(comp, "node", "left").select("k", "node", F.coalesce("component", "node").alias("c"))
         open_ = held.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
         dense = scratch.table(held.join(open_, "k"))
-        if round_ < 2:  # another document of each list as its centre
+        if not round_:  # another document of each list as its centre
             centre = dense.groupBy("k").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(round_))).alias("s")).select("k", F.col("s.node").alias("a"), F.col("s.c").alias("ca"))
             todo = dense.join(centre, "k").where("c <> ca").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         else:  # all others against each list's documents, but for pairs inside a component
