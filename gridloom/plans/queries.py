@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.functions import color, layout
-from gridloom.operators import geometry, grid, merge, stats
+from gridloom.operators import boundary, geometry, grid, merge, stats
+from gridloom.plans import config
+from gridloom.sources import svg
 
 
 _LAB = ("cl", "ca", "cb")
@@ -284,6 +286,41 @@ def simplify_vw(spark, sf_dir):
     return geometry.simplify(rows.withColumnRenamed("embedding", "ys"), "vec_id", 0.3)
 
 
+def arc_trace(spark, sf_dir):
+    a = boundary.arcs(_regions(spark, sf_dir))
+    return a.select("arc", "left_region", "right_region", "closed", (F.size("vs") - 1).alias("length"))
+
+
+def arc_sides(spark, sf_dir):
+    """Border length of every pair of sides, from the traced arcs."""
+    return arc_trace(spark, sf_dir).groupBy("left_region", "right_region").agg(F.sum("length").alias("w"))
+
+
+def svg_fingerprint(spark, sf_dir):
+    return svg.fingerprint(svg.pages(boundary.arcs(_regions(spark, sf_dir)), 50, 400)).drop("image")
+
+
+def pole_of_inaccessibility(spark, sf_dir):
+    b = _boxes(spark, sf_dir)
+    xs, ys = F.expr("array(x0, x1 + 2, x1 + 2, x0)"), F.expr("array(y0, y0, y1 + 2, y1 + 2)")
+    return _r6(boundary.poles(b.select("id", xs.alias("xs"), ys.alias("ys")), "id").select("id", "clearance"), "clearance")
+
+
+def config_resolve(spark, sf_dir):
+    """Resolved settings of every preset, with their hash."""
+    rows = []
+    for name in config.PRESETS:
+        c = config.resolve(config.DEFAULTS, config.preset(name), proposals={"quantize": {"n_colors": 99, "sample_px": 100000}})
+        rows.append((name, float(c["merge"]["d_min_mm"]), int(c["quantize"]["n_colors"]), int(c["quantize"]["sample_px"]), len(config.config_hash(c))))
+    return spark.createDataFrame(rows, "preset string, d_min_mm double, n_colors int, sample_px int, hash_length int")
+
+
+def lloyd_step(spark, sf_dir):
+    """One step of k-means over vectors: nearest of 8 fixed centres, then the classes' sizes and first means."""
+    rows = nearest_center_assign(spark, sf_dir).join(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return rows.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col("embedding")[i].cast("double")), 6).alias(f"m{i}") for i in range(4)])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -292,5 +329,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         component_map, components_count, region_records, region_edges, region_perimeter, boundary_identity, fill_holes, area_opening_choice,
         region_topk_area, palette_compact, size_distribution, compactness, bbox_range_join, ring_shoelace, curvature_energy, bezier_flatten,
         font_fit, letterbox, legend_layout, regression_check, engine_score, preset_recommendations, merge_tiny, simplify_vw,
+        arc_trace, arc_sides, svg_fingerprint, pole_of_inaccessibility, config_resolve, lloyd_step,
     )
 }
