@@ -135,15 +135,26 @@ def id_filter(ids: DataFrame, column: str) -> Callable[[DataFrame, str], tuple[D
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     words = (
-        ids.select(slot(F.col(column)).alias("s")).groupBy(F.shiftright("s", 6).alias("_w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_b"))
+        ids.select(slot(F.col(column)).alias("s")).groupBy(F.shiftright("s", 6).alias("_gridloom_w"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_gridloom_b"))
     )
     words = F.broadcast(words)
 
     def split(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         s = slot(F.col(name))
-        met = df.join(words, F.shiftright(s, 6) == F.col("_w"), "left")
-        bit = F.col(name).isNotNull() & F.col("_b").isNotNull() & (F.getbit(F.coalesce("_b", F.lit(0).cast("long")), (s % 64).cast("int")) == 1)
-        return met.where(bit).drop("_w", "_b"), met.where(~bit).drop("_w", "_b")
+        met = df.join(words, F.shiftright(s, 6) == F.col("_gridloom_w"), "left")
+        bit = F.col(name).isNotNull() & F.col("_gridloom_b").isNotNull() & (F.getbit(F.coalesce("_gridloom_b", F.lit(0).cast("long")), (s % 64).cast("int")) == 1)
+        return met.where(bit).drop("_gridloom_w", "_gridloom_b"), met.where(~bit).drop("_gridloom_w", "_gridloom_b")
 
     return split
+
+
+def among(df: DataFrame, ids: DataFrame, keys: list[str], present: bool = True) -> DataFrame:
+    """Rows of df whose keys are in ids (distinct in keys), or those whose keys are not; df comes from id_filter.
+
+    An outer join with a mark, since the optimizer moves semi and anti joins below the filter's own join, where they would
+    shuffle every row that the bitmap keeps back.
+    """
+    mark = ids.select(*keys, F.lit(True).alias("_gridloom_in"))
+    out = df.join(mark, keys, "left").where(F.col("_gridloom_in").isNotNull() if present else F.col("_gridloom_in").isNull())
+    return out.select(*df.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import tokens
-from gridloom.llm.common import Scratch, id_filter, list_array, map_text, only
+from gridloom.llm.common import Scratch, among, id_filter, list_array, map_text, only
 from gridloom.llm.graph import components
 
 SKETCH, INDEX, LIST = 48, 24, 32
@@ -92,7 +92,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     likely = scratch.table(joined.where(fits).withColumn("u", union).where(shared >= floor).select("a", "b"))
     wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     maybe, _ = id_filter(wanted, "node")(docs, "doc_id")
-    sets = scratch.table(_sets(maybe.join(wanted, maybe.doc_id == wanted.node, "left_semi"), width).distinct())
+    sets = scratch.table(_sets(among(maybe, wanted.withColumnRenamed("node", "doc_id"), ["doc_id"]), width).distinct())
     sa, sb = sets.select(F.col("node").alias("a"), F.col("names").alias("na")), sets.select(F.col("node").alias("b"), F.col("names").alias("nb"))
     both = F.size(F.array_intersect("na", "nb"))
     links = scratch.table(
@@ -123,7 +123,7 @@ def _bounded_sets(pool: DataFrame, docs: DataFrame, width: int, scratch: Scratch
     No intersection inside the pool exceeds s, which settles most pairs of a dense group without comparing them.
     """
     maybe, _ = id_filter(pool, "node")(docs, "doc_id")
-    sets = scratch.table(_sets(maybe.join(pool, maybe.doc_id == pool.node, "left_semi"), width).distinct())
+    sets = scratch.table(_sets(among(maybe, pool.withColumnRenamed("node", "doc_id"), ["doc_id"]), width).distinct())
     each = sets.select("node", F.explode("names").alias("name"))
     alone = each.groupBy("name").agg(F.count(F.lit(1)).alias("in"), F.min("node").alias("node")).where("in = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     return sets.withColumn("n", F.size("names")).join(alone, "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import tokens
-from gridloom.llm.common import Scratch, id_filter, map_text, only
+from gridloom.llm.common import Scratch, among, id_filter, map_text, only
 
 WINDOW, ROUNDS = 50, 4
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -162,7 +162,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copies = scratch.table(seen.join(first, ["d", "e"]).where("doc_id > low").select("doc_id", "t", "n_words").distinct())
     scratch.drop(seen)
     maybe, surely = id_filter(copies, "doc_id")(docs, "doc_id")
-    single = surely.union(maybe.join(copies, ["doc_id", "t"], "left_anti").select(*surely.columns))
+    single = surely.union(among(maybe, copies, ["doc_id", "t"], present=False).select(*surely.columns))
     all_ranges = scratch.table(_ranges(single, window))
     shared = all_ranges.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     met = scratch.table(all_ranges.join(shared, "key"))

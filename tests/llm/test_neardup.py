@@ -2,6 +2,7 @@ import random
 import re
 
 from gridloom.llm import neardup
+from gridloom.llm.common import among, id_filter
 from tests.llm import cases
 
 
@@ -66,3 +67,22 @@ def test_hard_rows(spark):
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert got(out) == brute(rows, 4, 80)
     assert neardup.near_duplicates(cases.empty(spark)).count() == 0
+
+
+def test_the_bitmap_goes_before_the_exact_filter(spark):
+    """Semi and anti joins would be moved below it and shuffle every text."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = cases.docs(spark, [(i, f"text {i}") for i in range(50)] + [(None, "no id"), (7, "again")]).selectExpr("*", "1 as _in", "2 as _b", "3 as _w")
+        ids = spark.range(0, 50, 7).selectExpr("id as doc_id")
+        maybe, surely = id_filter(ids, "doc_id")(df, "doc_id")
+        inside, outside = among(maybe, ids, ["doc_id"]), among(maybe, ids, ["doc_id"], present=False)
+        assert sorted(r.doc_id for r in inside.collect()) == [0, 7, 7, 14, 21, 28, 35, 42, 49]
+        assert inside.count() + outside.count() + surely.count() == 52 and inside.columns == df.columns
+        for out in (inside, outside):
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.index("doc_id#") < plan.index("getbit") and "LeftSemi" not in plan and "LeftAnti" not in plan
+            joins = [line for line in plan.splitlines() if "Join" in line]
+            assert "getbit" in joins[1] and "getbit" not in joins[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
