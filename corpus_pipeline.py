@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, neardup, packing, pii, toxicity
-from gridloom.llm.common import Scratch, id_filter
+from gridloom.llm.common import Scratch, among, id_filter
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group stays: that with the smallest doc_id; five-word shingles, similarity 0.8."""
     gone = Scratch(spark).table(neardup.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct())
     maybe, surely = id_filter(gone, "doc_id")(docs, "doc_id")
-    return surely.select(*docs.columns).unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return surely.select(*docs.columns).unionByName(among(maybe, gone, ["doc_id"], present=False).select(*docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
