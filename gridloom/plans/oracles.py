@@ -130,4 +130,18 @@ SQL = {
     "lloyd_step": """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
       d AS (SELECT vec_id, k, sum(pow(v - (i = k)::INT, 2)) AS d FROM e, range(8) r(k) GROUP BY 1, 2), c AS (SELECT vec_id, arg_min(k, (d, k))::INT AS centre FROM d GROUP BY 1)
       SELECT centre, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS m0, round(avg(embedding[2]::DOUBLE), 6) AS m1, round(avg(embedding[3]::DOUBLE), 6) AS m2, round(avg(embedding[4]::DOUBLE), 6) AS m3 FROM c JOIN embeddings USING (vec_id) GROUP BY centre""",
+    "distance_transform": f"""WITH {PART}, f AS (SELECT y AS near_y, x AS near_x FROM px WHERE label = 0),
+      d AS (SELECT id, y, x, near_y, near_x, (y - near_y) * (y - near_y) + (x - near_x) * (x - near_x) AS d2 FROM px, f)
+      SELECT y, x, round(sqrt(d2), 6) AS d, near_y, near_x FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, near_y, near_x) = 1""",
+    "dilate_mask": f"""WITH {PART} SELECT p.y, p.x, EXISTS (SELECT 1 FROM px q WHERE q.r > 0.9 AND abs(q.y - p.y) + abs(q.x - p.x) <= 2) AS grown FROM px p""",
+    "resize_area": f"""WITH {PART}, s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px),
+      t AS (SELECT h, w, greatest(1, round_even(h * least(1.0::DOUBLE, 20.0::DOUBLE / greatest(h, w)), 0))::INT AS th, greatest(1, round_even(w * least(1.0::DOUBLE, 20.0::DOUBLE / greatest(h, w)), 0))::INT AS tw FROM s),
+      i AS (SELECT y.v AS y, i.v AS ty, least((i.v + 1) * h, (y.v + 1) * th) - greatest(i.v * h, y.v * th) AS n FROM t, (SELECT DISTINCT y AS v FROM px) y, (SELECT unnest(range((SELECT th FROM t))) AS v) i),
+      j AS (SELECT x.v AS x, j.v AS tx, least((j.v + 1) * w, (x.v + 1) * tw) - greatest(j.v * w, x.v * tw) AS n FROM t, (SELECT DISTINCT x AS v FROM px) x, (SELECT unnest(range((SELECT tw FROM t))) AS v) j)
+      SELECT ty::INT AS y, tx::INT AS x, round(sum(r * i.n * j.n) / sum(i.n * j.n), 6) AS r, round(sum(g * i.n * j.n) / sum(i.n * j.n), 6) AS g, round(sum(b * i.n * j.n) / sum(i.n * j.n), 6) AS b
+      FROM px JOIN i ON i.y = px.y AND i.n > 0 JOIN j ON j.x = px.x AND j.n > 0 GROUP BY ALL""",
+    "ssim": f"""WITH {PART}, v AS (SELECT y, x, round(r * 255) AS a, round(g * 255) AS b FROM px),
+      q AS (SELECT p.y, p.x, avg(o.a) AS ma, avg(o.b) AS mb, var_samp(o.a) AS va, var_samp(o.b) AS vb, covar_samp(o.a, o.b) AS c, count(*) AS n
+        FROM v p JOIN v o ON abs(o.y - p.y) <= 3 AND abs(o.x - p.x) <= 3 GROUP BY p.y, p.x)
+      SELECT round(avg((2 * ma * mb + 6.5025) * (2 * c + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))), 6) AS ssim FROM q WHERE n = 49""",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.functions import color, layout
-from gridloom.operators import boundary, geometry, grid, merge, stats
+from gridloom.operators import boundary, geometry, grid, merge, raster, stats
 from gridloom.plans import config
 from gridloom.sources import svg
 
@@ -321,6 +321,27 @@ def lloyd_step(spark, sf_dir):
     return rows.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col("embedding")[i].cast("double")), 6).alias(f"m{i}") for i in range(4)])
 
 
+def distance_transform(spark, sf_dir):
+    """Distance of every cell to the nearest one with label 0."""
+    out = raster.distance_transform(_part(spark, sf_dir), F.col("label") == 0)
+    return out.select("y", "x", F.round(F.sqrt("d2"), 6).alias("d"), "near_y", "near_x")
+
+
+def dilate_mask(spark, sf_dir):
+    return raster.dilate(_part(spark, sf_dir), F.col("r") > 0.9, 2).select("y", "x", "grown")
+
+
+def resize_area(spark, sf_dir):
+    return _r6(raster.resize_area(_part(spark, sf_dir), 20, ["r", "g", "b"]).drop("image"), "r", "g", "b")
+
+
+def ssim(spark, sf_dir):
+    """The red channel against the green one."""
+    p = _part(spark, sf_dir)
+    one, two = (p.select("image", "y", "x", F.round(F.col(c) * 255).alias("v")) for c in ("r", "g"))
+    return _r6(raster.ssim(one, two, "v").drop("image"), "ssim")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -330,5 +351,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         region_topk_area, palette_compact, size_distribution, compactness, bbox_range_join, ring_shoelace, curvature_energy, bezier_flatten,
         font_fit, letterbox, legend_layout, regression_check, engine_score, preset_recommendations, merge_tiny, simplify_vw,
         arc_trace, arc_sides, svg_fingerprint, pole_of_inaccessibility, config_resolve, lloyd_step,
+        distance_transform, dilate_mask, resize_area, ssim,
     )
 }
