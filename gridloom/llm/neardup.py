@@ -12,6 +12,8 @@ components that result are contracted, and only pairs between different componen
 Recall. With 0.8 the chance that a pair shares none of INDEX retained names is 0.2**INDEX (2e-17), none of two in a row
 about 1e-7 where all its lists are long.
 
+Order. Names are kept with the top bit flipped (_signed), so that Spark's signed order is the order of the sketches.
+
 Defined results: null or blank text has an empty set and links with nothing; a text with fewer words than a shingle has
 its whole word sequence as the one shingle; rows with the same doc_id are one node; a null doc_id links with nothing
 (component_id null, kept). Only doc_id and text are read.
@@ -31,6 +33,11 @@ from gridloom.llm.graph import components
 SKETCH, INDEX, LIST = 48, 24, 32
 
 
+def _signed(names: np.ndarray) -> np.ndarray:
+    """uint64 names as int64 in the same order."""
+    return (names ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def shingle_sets(texts: list[bytes], width: int, lower: bool = True) -> list[np.ndarray]:
     """The sorted distinct shingle names of each text."""
     words, counts = tokens.word_hashes(texts, lower)
@@ -64,7 +71,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         short = [s[:SKETCH] for s in sets]
         return {
             "doc_id": keys["doc_id"], "n_shingles": n, "d1": digest[0], "d2": digest[1],
-            "sketch": list_array(np.concatenate([*short, np.zeros(0, np.uint64)]).view(np.int64), np.array([len(s) for s in short]), pa.int64()),
+            "sketch": list_array(_signed(np.concatenate([*short, np.zeros(0, np.uint64)])), np.array([len(s) for s in short]), pa.int64()),
         }
 
     return map_text(only(docs, "doc_id", "text"), ["doc_id", "text"], run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
@@ -73,7 +80,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(keys, texts):
         sets = shingle_sets(texts, width)
-        return {"node": keys["doc_id"], "names": list_array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64), np.array([len(s) for s in sets]), pa.int64())}
+        return {"node": keys["doc_id"], "names": list_array(_signed(np.concatenate([*sets, np.zeros(0, np.uint64)])), np.array([len(s) for s in sets]), pa.int64())}
 
     return map_text(docs, ["doc_id", "text"], run, "node long, names array<long>")
 

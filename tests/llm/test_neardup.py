@@ -69,6 +69,18 @@ def test_hard_rows(spark):
     assert neardup.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_truncated_copies_at_the_threshold(spark):
+    """Pairs of a text and its first 80 % of shingles: the sketch of the union must be cut in the sketches' own order."""
+    r = random.Random(5)
+    rows = []
+    for i in range(700):
+        n = r.choice(range(50, 111, 5))
+        words = [f"w{i}x{j}" for j in range(n + 3)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n * 4 // 5 + 3]))]
+    out = neardup.near_duplicates(cases.docs(spark, rows), 4, 80).collect()
+    assert [r.doc_id for r in out if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_the_bitmap_goes_before_the_exact_filter(spark):
     """Semi and anti joins would be moved below it and shuffle every text."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
