@@ -10,7 +10,8 @@ different texts rarely gives. Lists still long then hold a dense group: each is
 components that result are contracted, and only pairs between different components are compared. No list is capped.
 
 Recall. With 0.8 the chance that a pair shares none of INDEX retained names is 0.2**INDEX (2e-17), none of two in a row
-about 1e-7 where all its lists are long.
+about 1e-7 where all its lists are long. One extra name breaks at most two of a set's triples, so a link of whole sets
+keeps a common triple but for a set of 4 and the same set with one more name; those are found by deletion keys, exactly.
 
 Order. Names are kept with the top bit flipped (_signed), so that Spark's signed order is the order of the sketches.
 
@@ -124,6 +125,14 @@ def _pairs(rows: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).where("a < b").select("a", "b")
 
 
+def _short_links(classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of a set of 4 names with the same names and one more: the 5 sets less one name are looked up, one row each."""
+    four = classes.where("n_shingles = 4").select(F.col("node").alias("x"), F.col("sketch").alias("key"))
+    five = classes.where("n_shingles = 5").select(F.col("node").alias("y"), "sketch", F.explode("sketch").alias("out"))
+    less = five.select("y", F.array_remove("sketch", F.col("out")).alias("key"))
+    return less.join(four, "key").where(F.lit(4 * 100 >= 5 * percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _bounded_sets(pool: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(node, names, n, s): each pooled document's set, its size, and how many of its shingles any other pooled document has.
 
@@ -153,7 +162,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int,
     dense = scratch.table(dense.select(F.col("k3").alias("k"), "node").distinct())
     star = dense.join(dense.groupBy("k").agg(F.min("node").alias("a")), "k").where("a < node").select("a", F.col("node").alias("b"))
     first = _pairs(one, "k1").union(_pairs(two, "k2")).union(_pairs(three, "k3")).union(star).distinct()
-    links = _confirm(first, classes, docs, width, percent, scratch)
+    links = scratch.table(_confirm(first, classes, docs, width, percent, scratch).union(_short_links(classes, percent)))
     for t in (posted, more, more2):
         scratch.drop(t)
     for round_ in range(2):

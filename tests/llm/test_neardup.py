@@ -81,6 +81,18 @@ def test_truncated_copies_at_the_threshold(spark):
     assert [r.doc_id for r in out if r.component_id != r.doc_id // 2 * 2] == []
 
 
+def test_short_templates_with_many_variants(spark):
+    """Four shingles against the same with one more, with all lists long: they need not have three consecutive names in common."""
+    rows = []
+    for g in range(12):
+        base = [f"t{g}w{j}" for j in range(7)]
+        for extra in [[], *[[f"v{g}x{v}"] for v in range(80)]]:
+            rows.append((len(rows), " ".join(base + extra)))
+        for v in range(40):  # ahead of the text
+            rows.append((len(rows), " ".join([f"u{g}x{v}", *base])))
+    assert got(neardup.near_duplicates(cases.docs(spark, rows), 4, 80)) == brute(rows, 4, 80)
+
+
 def test_the_bitmap_goes_before_the_exact_filter(spark):
     """Semi and anti joins would be moved below it and shuffle every text."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
