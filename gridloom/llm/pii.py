@@ -104,6 +104,11 @@ def _pick(words: str, at: str) -> str:
     return f"element_at(array({items}), cast(1 + conv(substr(hex, {at}, 4), 16, 10) % {len(words.split())} as int))"
 
 
+def _heads(script: str, n: str) -> str:
+    """n syllables, one more every second attempt: names don't run out. The hash gives 15 (over 1e18 names), far beyond any corpus."""
+    return f"concat_ws('', transform(sequence(1, least(15, cast({n} as int))), i -> {_pick(HEADS[script], 'if(i = 1, 1, 1 + 4 * i)')}))"
+
+
 def _draw(key: str) -> Column:
     """The surrogate of (kind, canon) at this attempt, in canonical form."""
     digits = "translate(hex, 'abcdef', '012345')"
@@ -137,12 +142,12 @@ def _draw(key: str) -> Column:
         ("ssn", f"concat('9', substr({digits}, 1, 8))"), ("iban", iban), ("key", "concat('AKIA', substr(translate(upper(hex), '0189', 'WXYZ'), 1, 16))"), ("secret", secret),
     ]
     for script in ("latin", "cyrillic"):
-        tail = "concat({}, case when attempt >= 4 then {} else '' end, {})".format(_pick(HEADS[script], "1"), _pick(HEADS[script], "9"), _pick(TAILS[script], "5"))
-        cases.append((f"surname_{script}", tail if script == "latin" else f"concat({tail}, case when canon rlike '(ова|ева|ина|ая)$' then 'а' else '' end)"))
+        surname = f"concat({_heads(script, 'greatest(1, attempt div 2)')}, {_pick(TAILS[script], '5')})"
+        cases.append((f"surname_{script}", surname if script == "latin" else f"concat({surname}, case when canon rlike '(ова|ева|ина|ая)$' then 'а' else '' end)"))
         for g in "fmn":
             pool = GIVEN[f"f_{script}"] + " " + GIVEN[f"m_{script}"] if g == "n" else GIVEN[f"{g}_{script}"]
             end = {"latin": {"f": "ella", "m": "ert", "n": "ary"}, "cyrillic": {"f": "ина", "m": "ислав", "n": "ий"}}[script][g]
-            made = f"concat({_pick(HEADS[script], '1')}, case when attempt >= 6 then {_pick(HEADS[script], '9')} else '' end, '{end}')"
+            made = f"concat({_heads(script, 'greatest(1, attempt div 2 - 1)')}, '{end}')"
             cases.append((f"given_{g}_{script}", f"case when attempt < 3 then lower({_pick(pool, '1')}) else {made} end"))
     body = " ".join(f"when '{k}' then {e}" for k, e in cases)
     return F.expr(f"case kind {body} else canon end")

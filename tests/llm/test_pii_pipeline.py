@@ -48,6 +48,17 @@ def test_many_entities_stay_distinct(spark):
         assert len(set(found)) == 3000 and not set(found) & {re.search(pattern, t)[1] for _, t in rows}
 
 
+def test_many_names_stay_distinct(spark):
+    """More names than two syllables can give, in both scripts."""
+    code = lambda i, abc: "".join(abc[i // len(abc) ** k % len(abc)] for k in range(5))
+    rows = [(i, f"Mrs. Q{code(i % 2000, 'aeioubdgkm')} Z{code(i, 'aeioubdgkm')} wrote.") for i in range(9000)]
+    rows += [(10000 + i, f"Госпожа Ж{code(i % 1000, 'аеиоубдгкм')} Щ{code(i, 'аеиоубдгкм')} тут.") for i in range(5000)]
+    out = {r.doc_id: r.text.split() for r in pii.replace_entities(cases.docs(spark, rows), "k").collect()}
+    for low, n, most in ((0, 9000, 2000), (10000, 5000, 1000)):
+        assert len({out[low + i][2] for i in range(n)}) == n and len({out[low + i][1] for i in range(n)}) == most
+        assert not {w for i in range(n) for w in out[low + i][1:3]} & {w for i, t in rows for w in t.split()[1:3]}
+
+
 def test_hard_rows(spark):
     df = cases.hard(spark)
     out = pii.replace_entities(df)
