@@ -56,7 +56,7 @@ PATTERNS = {
 }
 REGEX = "|".join(PATTERNS.values())
 #: A cheap test that every match passes.
-HINT = r"[0-9@]|(?i:password|passwd|secret|token|api.?key)|" + _any(" ".join([*TITLES.values(), *GIVEN.values()]))
+HINT = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api.?key)|" + _any(" ".join([*TITLES.values(), *GIVEN.values()]))
 
 
 def _kind(raw: Column) -> Column:
