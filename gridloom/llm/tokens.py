@@ -57,17 +57,26 @@ def word_spans(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     return data, start, end, doc
 
 
+def byte_hashes(data: np.ndarray):
+    """A function that hashes data[start:end] for arrays of starts and ends; equal bytes give equal hashes anywhere."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers("up", _BASE, len(data))[: len(data)], out=total[1:])
+    down = _powers("down", _INVERSE, len(data) + 1)
+
+    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (total[end] - total[start]) * down[start]
+        return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+    return of
+
+
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, number of words in each text)."""
     data, start, end, doc = word_spans(texts, lower)
     counts = np.bincount(doc, minlength=len(texts)).astype(np.int64)
     if not len(start):
         return np.zeros(0, np.uint64), counts
-    term = _BYTE[data] * _powers("up", _BASE, len(data))[: len(data)]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(term, out=total[1:])
-    h = (total[end] - total[start]) * _powers("down", _INVERSE, len(data))[start]
-    return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), counts
+    return byte_hashes(data)(start, end), counts
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:

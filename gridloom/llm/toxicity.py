@@ -1,12 +1,14 @@
 """Toxicity scores by a logistic classifier that counterfactuals regularise.
 
-Features are the presence, anywhere in the whole text, of words and of 5-letter pieces of words. Besides the logistic
-loss and a ridge, the fit pays for every change of the linear score when the identity terms of a labelled text are swapped
-for others of their group, so neutral mentions of a group don't raise scores.
+A text's features are its words and the first 4, 5 and 6 bytes of its words, once by presence anywhere in the whole text
+and once by density (at least 1 word in SPARSE, and two), so that one chance word in a long text differs from a habit.
+Besides the logistic loss and a ridge, the fit pays for every change of the linear score when the identity terms of a
+labelled text are swapped for others of their group, so neutral mentions of a group don't raise scores.
 
-The fit reads a sample of at most about POSITIVES toxic and NEGATIVES other labelled training rows (by a hash of doc_id)
-and keeps the FEATURES hashed features with the largest likelihood ratio, and all features of identity terms; these
-bounds are parameters. Scoring reads everything.
+The fit reads a sample of at most about POSITIVES toxic and NEGATIVES other labelled training documents (by a hash of
+doc_id; one text for each doc_id) and keeps the FEATURES hashed features with the largest likelihood ratio, and those of
+identity terms; these bounds are parameters. Scores are calibrated on scores of documents that the scoring model did not
+learn from (FOLDS models, each without a part of the sample). Scoring reads everything.
 
 Defined results: null or wordless texts have no features and get the base score; rows with the same doc_id each get
 their score; a null doc_id is never learned from and not held out; with labels of one class or none, scores are that
@@ -20,85 +22,103 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import tokens
 from gridloom.llm.common import distinct_labels, fold, map_text, only
 
-POSITIVES, NEGATIVES, FEATURES, SPACE = 4000, 8000, 1024, 1 << 20
-RIDGE, FAIRNESS = 0.3, 10.0
-#: Groups of identity terms; each group's terms can stand for each other.
-IDENTITY = (
-    ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"), ("mother", "father"), ("she", "he"),
-    ("gay", "straight", "lesbian", "bisexual", "queer"), ("transgender", "cisgender"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "arab"), ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"),
-    ("american", "mexican", "chinese", "indian", "african", "european"), ("disabled", "deaf", "blind"), ("old", "young", "elderly"),
+POSITIVES, NEGATIVES, FEATURES, SPACE, SPARSE, FOLDS = 4000, 8000, 512, 1 << 20, 120, 3
+RIDGE, FAIRNESS = 0.1, 10.0
+#: Groups of identity terms (English, German, French, Spanish); each group's terms can stand for each other.
+IDENTITY = tuple(
+    tuple(g.split())
+    for g in (
+        "women men girls boys", "woman man girl boy", "mother father", "she he", "gay straight lesbian bisexual queer", "transgender cisgender",
+        "muslim christian jewish hindu buddhist atheist", "muslims christians jews hindus buddhists atheists", "black white asian latino arab",
+        "immigrant citizen refugee", "immigrants citizens refugees", "american mexican chinese indian african european", "disabled deaf blind", "old young elderly",
+        "frauen männer mädchen jungen", "frau mann", "muslime christen juden hindus", "muslimisch christlich jüdisch", "ausländer inländer flüchtlinge", "türken deutsche polen",
+        "femmes hommes filles garçons", "femme homme fille garçon", "musulmans chrétiens juifs", "musulman chrétien juif", "noirs blancs arabes", "immigrés citoyens réfugiés",
+        "mujeres hombres niñas niños", "mujer hombre niña niño", "musulmanes cristianos judíos", "negros blancos latinos", "inmigrantes ciudadanos refugiados",
+    )
 )
+_WORD_BYTE = np.zeros(256, bool)
+_WORD_BYTE[97:123] = True
+_WORD_BYTE[128:] = True
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: bytes) -> set[str]:
-    return set(_WORD.findall(text.decode("utf-8", "replace").lower()))
-
-
-def _hash(s: str) -> int:
-    h = 2166136261
-    for b in s.encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) & SPACE - 1
-
-
-def word_features(word: str) -> set[int]:
-    """The hashed word and its 5-letter pieces, the first with a mark of the word's start."""
-    marked = "^" + word
-    return {_hash("w " + word), *(_hash("g " + marked[i : i + 5]) for i in range(len(marked) - 4))}
-
-
-class Cache(dict):
-    """word -> features; emptied when it has grown large, so that its memory is bounded."""
-
-    def __init__(self, make, most: int = 200_000):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = got = self.make(word)
-        return got
-
-
-def features(words: set[str], cache: Cache) -> set[int]:
-    out: set[int] = set()
-    for w in words:
-        if got := cache[w]:
-            out.update(got)
+def parts(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) without repeats, in order. wanted: a mark for each of the 2 * SPACE features; others are left out."""
+    lowered = [t.decode("utf-8", "replace").lower().encode() for t in texts]
+    data = np.frombuffer(b" ".join(lowered) + b" ", np.uint8)
+    letter = _WORD_BYTE[data]
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    if len(data) and letter[0]:
+        edge = np.concatenate(([0], edge))
+    start, end = edge[0::2], edge[1::2]
+    begins = np.zeros(len(texts), np.int64)
+    np.cumsum([len(t) + 1 for t in lowered[:-1]], out=begins[1:])
+    doc = np.searchsorted(begins, start, "right") - 1
+    words = np.bincount(doc, minlength=len(texts))
+    of, keys = tokens.byte_hashes(data), []
+    keep = None if wanted is None else wanted[:SPACE] | wanted[SPACE:]
+    for k in (0, 4, 5, 6):
+        at = np.flatnonzero(end - start >= k) if k else np.arange(len(start))
+        h = (tokens.mix(of(start[at], start[at] + k if k else end[at]) + np.uint64(k)) & np.uint64(SPACE - 1)).astype(np.int64)
+        if keep is not None:
+            good = keep[h]
+            at, h = at[good], h[good]
+        keys.append(doc[at] * SPACE + h)
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    text, f = key // SPACE, key % SPACE
+    dense = (n >= 2) & (n * SPARSE >= words[text])
+    text, f = np.concatenate((text, text[dense])), np.concatenate((f, f[dense] + SPACE))
+    if wanted is not None:
+        good = wanted[f]
+        text, f = text[good], f[good]
+    order = np.lexsort((f, text))
+    return text[order], f[order]
+
+
+def swaps(text: bytes, groups=IDENTITY) -> list[bytes]:
+    """The text with each identity term replaced by the next of its group, and by the one before; none without such terms."""
+    lowered = text.decode("utf-8", "replace").lower()
+    out = []
+    for step in (1, -1):
+        after = {t: g[(i + step) % len(g)] for g in groups for i, t in enumerate(g)}
+        made, n = _WORD.subn(lambda m: after.get(m[0], m[0]), lowered)  # noqa: B023
+        if n and made != lowered and made.encode() not in out:
+            out.append(made.encode())
     return out
 
 
-def swapped(words: set[str], groups=IDENTITY) -> set[str] | None:
-    """The words with each identity term replaced by the next of its group; None without such terms."""
-    after = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
-    found = words & after.keys()
-    return (words - found) | {after[t] for t in found} if found else None
-
-
 @dataclass
 class Model:
-    ids: list[int] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    bias: float = 0.0
+    """Weights of features for the whole sample (the first row) and without each of its folds; slope and shift calibrate."""
+
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
+    bias: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    slope: float = 1.0
+    shift: float = 0.0
 
-    def scorer(self):
-        at = dict(zip(self.ids, self.weights.tolist(), strict=True))
-        cache = Cache(lambda w: tuple(f for f in word_features(w) if f in at))
+    def raw(self, texts: list[bytes], which: np.ndarray | None = None) -> np.ndarray:
+        place = self.__dict__.get("_place")
+        if place is None:
+            place = np.full(2 * SPACE, -1, np.int32)
+            place[self.ids] = np.arange(len(self.ids))
+            self.__dict__["_place"] = place
+        row = np.zeros(len(texts), np.int64) if which is None else which
+        text, f = parts(texts, place >= 0)
+        return self.bias[row] + np.bincount(text, self.weights[row[text], place[f]], len(texts))
 
-        def score(text: bytes) -> float:
-            z = self.bias + sum(at[f] for f in sorted(features(words_of(text), cache)))
-            return float(1 / (1 + np.exp(-min(40.0, max(-40.0, z)))))
+    def score(self, texts: list[bytes], which: np.ndarray | None = None) -> np.ndarray:
+        """which: for each text 0, or 1 + the fold whose model did not learn from it."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts, which) + self.shift, -40, 40)))
 
-        return score
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_place"}
 
 
 def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE, fairness: float = FAIRNESS) -> tuple[np.ndarray, float]:
@@ -125,110 +145,154 @@ def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE,
     return beta[:-1], float(beta[-1])
 
 
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve through (z, y), both classes weighing the same and labels smoothed (Platt 1999)."""
+    n1, n0 = y.sum(), (1 - y).sum()
+    t, w = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
+    centre, scale = z.mean(), max(1e-6, z.std())
+    design, beta = np.column_stack(((z - centre) / scale, np.ones(len(z)))), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -40, 40)))
+        hess = (design * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ design + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, design.T @ (w * (p - t)) + 1e-3 * beta)
+        beta = beta - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    if beta[0] <= 0:
+        return 1.0, 0.0
+    return float(beta[0] / scale), float(beta[1] - beta[0] * centre / scale)
+
+
 def _sample(docs: DataFrame, known: DataFrame, positives: int, negatives: int) -> tuple[DataFrame, dict[int, int]]:
-    """Labelled texts: the label ids are sampled first (a bounded number), then broadcast to the scan."""
+    """(doc_id, y, g, text) of labelled documents: ids are sampled first (a bounded number), then broadcast to the scan; one text a doc_id."""
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     grain = 1 << 30
     part = lambda n, most: grain if n <= most else int(grain * most / n)
     limit = F.when(F.col("y") == 1, part(counts.get(1, 0), positives)).otherwise(part(counts.get(0, 0), negatives))
     ids = known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(grain)) < limit)
-    return docs.join(F.broadcast(ids), "doc_id").select("y", "text"), counts
+    rows = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.first("g").alias("g"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    return rows, counts
 
 
 def train(docs: DataFrame, known: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, most: int = FEATURES, groups=IDENTITY, ridge: float = RIDGE, fairness: float = FAIRNESS) -> Model:
-    """known: (doc_id, y) of the rows to learn from."""
+    """known: (doc_id, y, g) of the rows to learn from; g, 0 to FOLDS - 1, deals them to folds."""
     rows, counts = _sample(only(docs, "doc_id", "text"), known, positives, negatives)
+    plain = Model(bias=np.zeros(1 + FOLDS), weights=np.zeros((1 + FOLDS, 0)))
     if set(counts) != {0, 1}:
-        return Model(bias={(1,): 40.0, (0,): -40.0}.get(tuple(counts), 0.0))
+        plain.shift = {(1,): 40.0, (0,): -40.0}.get(tuple(counts), 0.0)
+        return plain
 
     def present(keys, texts):
-        cache = Cache(word_features)
-        held = np.zeros((2, SPACE), np.int32)
-        for y, t in zip(keys["y"], texts, strict=True):
-            held[y][list(features(words_of(t), cache))] += 1
-        at = np.flatnonzero(held.any(0))
-        return {"f": at, "n0": held[0][at], "n1": held[1][at]}
-
-    sums = map_text(rows, ["y", "text"], present, "f int, n0 int, n1 int").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
-    seen = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    t0, t1 = float(seen.get(0, 0)), float(seen.get(1, 0))
-    if not t0 or not t1:
-        return Model(bias=40.0 if t1 else -40.0 if t0 else 0.0)
-    term = lambda a, n, total: F.col(a) * F.log(F.greatest(F.col(a), F.lit(0.5)) * F.lit(t0 + t1) / (F.col("n0") + F.col("n1")) / F.lit(total))
-    off = lambda a, total: (F.lit(total) - F.col(a)) * F.log(F.greatest(F.lit(total) - F.col(a), F.lit(0.5)) * F.lit(t0 + t1) / F.greatest(F.lit(t0 + t1) - F.col("n0") - F.col("n1"), F.lit(0.5)) / F.lit(total))
-    ratio = term("n0", "n0", t0) + term("n1", "n1", t1) + off("n0", t0) + off("n1", t1)
-    best = [r.f for r in sums.orderBy(F.round(ratio, 6).desc(), "f").limit(most).collect()]
-    marks = {f for g in groups for t in g for f in word_features(t)}
-    ids = sorted({*best, *marks})
-    place = {f: i for i, f in enumerate(ids)}
+        group = np.array([2 * g + y for g, y in zip(keys["g"], keys["y"], strict=True)], np.int64)
+        text, f = parts(texts)
+        code, n = np.unique(f * (2 * FOLDS) + group[text], return_counts=True)
+        return {"f": code // (2 * FOLDS), "c": (code % (2 * FOLDS)).astype(np.int32), "n": n}
+
+    each = [F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
+    sums = map_text(rows, ["y", "g", "text"], present, "f long, c int, n long").groupBy("f").agg(*each)
+    seen = {(r.g, r.y): r.n for r in rows.groupBy("g", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def ratio(without: int | None) -> Column:
+        """The likelihood ratio of presence against absence in both classes, over all folds but one."""
+        folds = [g for g in range(FOLDS) if g != without]
+        t = [float(sum(seen.get((g, y), 0) for g in folds)) for y in (0, 1)]
+        n = [sum((F.col(f"c{2 * g + y}") for g in folds), F.lit(0)) for y in (0, 1)]
+        every, total = n[0] + n[1], t[0] + t[1]
+        out = F.lit(0.0)
+        for y in (0, 1):
+            out = out + n[y] * F.log(F.greatest(n[y], F.lit(0.5)) * total / F.greatest(every, F.lit(1)) / max(t[y], 1.0))
+            out = out + (t[y] - n[y]) * F.log(F.greatest(t[y] - n[y], F.lit(0.5)) * total / F.greatest(total - every, F.lit(0.5)) / max(t[y], 1.0))
+        return F.when(every >= 3, F.round(out, 6)).otherwise(0.0)
+
+    scored = sums.select("f", *[ratio(w).alias(f"r{i}") for i, w in enumerate((None, *range(FOLDS)))]).cache()
+    best = [np.array([r.f for r in scored.where(f"r{i} > 0").orderBy(F.col(f"r{i}").desc(), "f").limit(most).collect()], np.int64) for i in range(1 + FOLDS)]
+    scored.unpersist()
+    marks = parts([" ".join(t for g in groups for t in g).encode()])[1] if groups else np.zeros(0, np.int64)
+    marks = np.unique(marks % SPACE)
+    ids = np.unique(np.concatenate((*best, marks)))
+    wanted = np.zeros(2 * SPACE, bool)
+    wanted[ids] = True
 
     def vectors(keys, texts):
-        cache = Cache(lambda w: tuple(f for f in word_features(w) if f in place))
-        rows_ = {"y": keys["y"], "f": [], "g": []}
-        for t in texts:
-            w = words_of(t)
-            s = swapped(w, groups)
-            rows_["f"].append(sorted(place[f] for f in features(w, cache)))
-            rows_["g"].append(None if s is None else sorted(place[f] for f in features(s, cache)))
-        return rows_
-
-    got = map_text(rows, ["y", "text"], vectors, "y int, f array<int>, g array<int>").toArrow().combine_chunks()
-
-    def binary(column) -> np.ndarray:
-        out = np.zeros((len(column), len(ids)), np.int8)
-        for part, at in _chunks(column):
-            sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            out[np.repeat(np.arange(len(part)), sizes) + at, part.flatten().to_numpy()] = 1
+        text, f = parts(texts, wanted)
+        cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+        turned = [swaps(t, groups) for t in texts]
+        flat = [s for v in turned for s in v]
+        text2, f2 = parts(flat, wanted) if flat else (np.zeros(0, np.int64),) * 2
+        cuts2, at = np.searchsorted(text2, np.arange(len(flat) + 1)), 0
+        out = {"doc_id": keys["doc_id"], "y": keys["y"], "g": keys["g"], "f": [f[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "s": []}
+        for v in turned:
+            out["s"].append([f2[cuts2[k] : cuts2[k + 1]].tolist() for k in range(at, at + len(v))])
+            at += len(v)
         return out
 
-    x, y = binary(got["f"]), got["y"].to_numpy().astype(np.float64)
-    some = ~got["g"].is_null().to_numpy()
-    change = x[some] - binary(got["g"].filter(pa.array(some)))
-    order = np.lexsort((np.packbits(x, axis=1)[:, :8].astype(np.uint64) @ (np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)), x.sum(1), y))
-    w, b = fit(x[order], y[order], change, ridge, fairness)
-    return Model(ids, w, b)
-
-
-def _chunks(column):
-    at = 0
-    for part in column.chunks:
-        yield part, at
-        at += len(part)
+    kind = dict(docs.dtypes)["doc_id"]
+    got = map_text(rows, ["doc_id", "y", "g", "text"], vectors, f"doc_id {kind}, y int, g int, f array<long>, s array<array<long>>").toPandas()
+    got = got.sort_values("doc_id", kind="stable")
+    place = {f: i for i, f in enumerate(ids.tolist())}
 
+    def binary(lists) -> np.ndarray:
+        out = np.zeros((len(lists), len(ids)), np.int8)
+        for i, fs in enumerate(lists):
+            out[i, [place[f] for f in fs]] = 1
+        return out
 
-def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The named columns (of simple types) and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    x, y, g = binary(got["f"].tolist()), got["y"].to_numpy(float), got["g"].to_numpy()
+    owner = np.array([i for i, s in enumerate(got["s"]) for _ in s], np.int64)
+    change = x[owner] - binary([v for s in got["s"] for v in s])
+    model = Model(ids, np.zeros((1 + FOLDS, len(ids))), np.zeros(1 + FOLDS))
+    z = np.zeros(len(y))
+    for i in range(1 + FOLDS):
+        rest = g != i - 1
+        if rest.sum() and 0 < y[rest].sum() < rest.sum():
+            use = np.flatnonzero(np.isin(ids, np.concatenate((best[i], marks))))
+            w, b = fit(x[rest][:, use], y[rest], change[rest[owner]][:, use], ridge, fairness)
+            model.weights[i, use], model.bias[i] = w, b
+            if i:
+                z[~rest] = x[~rest].astype(np.float64) @ model.weights[i] + b
+    if len(set(g.tolist())) > 1:
+        model.slope, model.shift = calibrate(z, y)
+    return model
+
+
+def score(docs: DataFrame, model: Model, columns: list[str], which: Column | None = None) -> DataFrame:
+    """The named columns (of simple types) and score. which: see Model.score."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by the parameters
     kinds = dict(docs.dtypes)
 
     def run(keys, texts):
-        f = held.value.scorer() if not hasattr(held.value, "_scorer") else held.value._scorer
-        held.value._scorer = f
-        return {c: [k[c] for k in keys["_k"]] for c in columns} | {"score": [f(t) for t in texts]}
+        return {c: [k[c] for k in keys["_k"]] for c in columns} | {"score": held.value.score(texts, np.array(keys["_w"], np.int64))}
 
-    return map_text(docs.select(F.struct(*columns).alias("_k"), "text"), ["_k", "text"], run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
+    rows = docs.select(F.struct(*columns).alias("_k"), (F.lit(0) if which is None else which).alias("_w"), "text")
+    return map_text(rows, ["_k", "_w", "text"], run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, score, predicted); rows with crc32(doc_id) mod folds = held are not learned from."""
     docs = only(docs, "doc_id", "text")
     known = distinct_labels(labels, "toxic").where("y in (0, 1)").where(fold(F.col("doc_id"), folds) != held)
-    model = train(docs, known)
+    model = train(docs, known.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int")))
     out = score(docs.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))), model, ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with their columns, whose score stays below threshold; learns from all labelled rows of docs."""
-    model = train(only(docs, "doc_id", "text"), distinct_labels(labels, "toxic").where("y in (0, 1)"))
+    """The rows of docs, with their columns, whose score stays below threshold.
+
+    A labelled document is scored by the model that did not learn from its fold, so a label never decides on its own text.
+    """
+    group = F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(0)).cast("int")
+    known = distinct_labels(labels, "toxic").where("y in (0, 1)").withColumn("g", group)
+    model = train(only(docs, "doc_id", "text"), known)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def rate(texts):
+    def rate(texts, which):
         import pandas as pd
 
-        f = getattr(held.value, "_scorer", None) or held.value.scorer()
-        held.value._scorer = f
-        return pd.Series([f(b"" if t is None else t.encode()) for t in texts])
+        found = []
+        for at in range(0, len(texts), 256):
+            found.append(held.value.score([b"" if t is None else t.encode() for t in texts.iloc[at : at + 256]], which.iloc[at : at + 256].to_numpy(np.int64)))
+        return pd.Series(np.concatenate(found) if found else np.zeros(0))
 
-    return docs.where(rate(F.col("text")) < threshold)
+    return docs.where(rate(F.col("text"), group + 1) < threshold)
