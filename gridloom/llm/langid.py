@@ -5,8 +5,8 @@ BUCKETS. The blended-spectrum presence kernel of two texts is the size of their
 mean of their sizes. Nyström landmarks turn it into vectors, on which one-versus-rest ridge regression is solved; a batch
 of texts is scored by three matrix products. Texts are read whole.
 
-The fit reads a sample of at most about PER_LANGUAGE labelled training rows a language (by a hash of doc_id), and
-LANDMARKS of them; both are parameters. A language is never left out.
+The fit reads a sample of at most about PER_LANGUAGE labelled training texts a language and SAMPLE in all (by a hash of
+doc_id and text; equal rows count once), and LANDMARKS of them; these are parameters. A language is never left out.
 
 Defined results: null text or text without a letter gives `und` and score 0; a null doc_id is scored but never learned
 from and not held out; without training rows every text is `und`. Inputs of a prediction: the text alone.
@@ -23,13 +23,18 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import fold, map_text, only
 
-BUCKETS, LANDMARKS, PER_LANGUAGE, RIDGE = 8192, 256, 1500, 1e-3
-_LETTER = re.compile(r"[^\W\d_]")
+BUCKETS, LANDMARKS, PER_LANGUAGE, SAMPLE, RIDGE = 8192, 256, 1500, 30000, 1e-3
+_MAYBE = re.compile(r"[^\W\d_]")
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[:128] = 32
 _CLEAN[97:123] = np.arange(97, 123)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of category L; the quick test alone would take fractions and superscripts too."""
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text))
+
+
 def spectra(texts: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
     """A boolean row of n-gram buckets for each text."""
     lowered = [t.decode("utf-8", "replace").lower().encode() for t in texts]
@@ -78,22 +83,22 @@ class KernelClassifier:
         return (kernel(x, self.z) @ self.map) @ self.w[:-1] + self.w[-1]
 
 
-def _sample(docs: DataFrame, folds: int, held: int, per_language: int) -> tuple[np.ndarray, list[str]]:
+def _sample(docs: DataFrame, folds: int, held: int, per_language: int, sample: int = SAMPLE) -> tuple[np.ndarray, list[str]]:
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).where(fold(F.col("doc_id"), folds) != held)
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return np.zeros((0, BUCKETS), bool), []
-    grain = 1 << 30
-    u = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(grain))
+    grain, per_language = 1 << 30, max(1, min(per_language, sample // len(counts)))
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(grain))
     share = {k: grain if n <= per_language else max(1, int(grain * per_language / n)) for k, n in counts.items()}
     limit = F.element_at(F.create_map(*[F.lit(v) for kv in share.items() for v in kv]), F.col("lang"))
-    picked = rows.where(u < limit).select(F.struct("doc_id", "lang").alias("k"), "text")
+    picked = rows.where(u < limit).dropDuplicates(["doc_id", "lang", "text"]).select(F.struct("doc_id", "lang").alias("k"), "text")
 
     def run(keys, texts):
         return {"doc_id": [k["doc_id"] for k in keys["k"]], "lang": [k["lang"] for k in keys["k"]], "bits": [b.tobytes() for b in np.packbits(spectra(texts), axis=1)]}
 
     got = map_text(picked, ["k", "text"], run, "doc_id long, lang string, bits binary").toArrow()
-    order = sorted(range(len(got)), key=lambda i: (_scatter(got["doc_id"][i].as_py()), got["lang"][i].as_py()))
+    order = sorted(range(len(got)), key=lambda i: (_scatter(got["doc_id"][i].as_py()), got["lang"][i].as_py(), got["bits"][i].as_py()))
     bits = np.array([np.frombuffer(got["bits"][i].as_py(), np.uint8) for i in order]).reshape(len(order), -1)
     return np.unpackbits(bits, axis=1).astype(bool), [got["lang"][i].as_py() for i in order]
 
@@ -113,7 +118,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int =
         m = shared.value
         ids, flags = [k["doc_id"] for k in keys["k"]], [k["held_out"] for k in keys["k"]]
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        spoken = [i for i, t in enumerate(texts) if t and _LETTER.search(t.decode("utf-8", "replace"))]
+        spoken = [i for i, t in enumerate(texts) if t and has_letter(t.decode("utf-8", "replace"))]
         if m is not None and spoken:
             v = m.values(spectra([texts[i] for i in spoken]))
             best = v.argmax(1)

@@ -95,11 +95,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """docs as the mix takes them, with their own columns: a row for each whole copy, and the leading words of a part taken."""
-    plan = mix(docs, weights, share, most).select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), "size", "taken").distinct()
-    n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    got = docs.join(plan, docs.doc_id.eqNullSafe(plan._id) & docs.source.eqNullSafe(plan._s) & (F.coalesce(F.regexp_count(docs.text, F.lit(WORD)), F.lit(0)) == plan.size))
-    got = got.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    keep = F.col("taken") - (F.col("_i") - 1) * F.col("size")
-    spans = F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), keep.cast("int") + F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int"))
-    cut = F.when(keep >= F.col("size"), F.col("text")).otherwise(F.rtrim(F.concat_ws("", spans)))
-    return got.select(*[cut.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    plan = mix(docs, weights, share, most).select(F.struct("doc_id", "source", "size", "taken").alias("mix")).distinct()
+    # rows travel whole in one column, so that none of their names can meet those of the plan
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    words = F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0))
+    got = rows.join(plan, F.col("doc.doc_id").eqNullSafe(F.col("mix.doc_id")) & F.col("doc.source").eqNullSafe(F.col("mix.source")) & (words == F.col("mix.size")))
+    n = F.when(F.col("mix.size") > 0, F.ceil(F.col("mix.taken") / F.col("mix.size"))).otherwise(0).cast("int")
+    got = got.withColumn("n", n).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    keep = F.col("mix.taken") - (F.col("i") - 1) * F.col("mix.size")
+    spans = F.slice(F.split("doc.text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), keep.cast("int") + F.col("doc.text").rlike(r"^[\x20\x09-\x0D]").cast("int"))
+    cut = F.when(keep >= F.col("mix.size"), F.col("doc.text")).otherwise(F.rtrim(F.concat_ws("", spans)))
+    return got.select(*[cut.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

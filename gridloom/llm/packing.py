@@ -39,11 +39,19 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _plain_byte_level(spec: dict) -> bool:
+    """Whether the file is a byte-level BPE with the standard splitting rule and nothing else before or in its model."""
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    odd = spec.get("normalizer") or model.get("dropout") or model.get("unk_token") or model.get("byte_fallback") or model.get("ignore_merges")
+    odd = odd or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")
+    return model.get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not odd
+
+
 def encoder(path: str):
-    """text -> ids, equal to tokenizers' encode(add_special_tokens=False) for a byte-level BPE file.
+    """text -> ids, equal to tokenizers' encode(add_special_tokens=False).
 
-    The file's vocabulary, whose ids are in merge order, runs on a faster engine; a text that engine refuses goes to the
-    tokenizers library itself.
+    A plain byte-level BPE file, whose ids are in merge order, runs on a faster engine; other files, and texts that this
+    engine refuses, go to the tokenizers library itself.
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
@@ -52,9 +60,14 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if not _plain_byte_level(spec):
+        whole = Tokenizer.from_file(path)
+        _ENCODERS[path] = lambda text: whole.encode(text, add_special_tokens=False).ids
+        return _ENCODERS[path]
     letters = _byte_alphabet()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(letters[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
+    # the splitting rule that the type ByteLevel stands for; the file names it, but doesn't spell it out
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     slow = []
@@ -62,7 +75,9 @@ def encoder(path: str):
     def encode(text: str) -> list[int]:
         try:
             return fast.encode(text, allowed_special="all")
-        except BaseException:  # the engine's panics are not Exceptions
+        except BaseException as e:  # the engine's panics are not Exceptions
+            if isinstance(e, KeyboardInterrupt | SystemExit | GeneratorExit | MemoryError):
+                raise
             if not slow:
                 slow.append(Tokenizer.from_file(path))
             return slow[0].encode(text, add_special_tokens=False).ids

@@ -42,7 +42,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(_docs(spark, sf_dir)).select("doc_id", "text", "n_entities")
+    return pii.replace_entities(_docs(spark, sf_dir), pii.session_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,9 @@ def train(docs: DataFrame, known: DataFrame, positives: int = POSITIVES, negativ
     each = [F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)]
     sums = map_text(rows, ["y", "g", "text"], present, "f long, c int, n long").groupBy("f").agg(*each)
     seen = {(r.g, r.y): r.n for r in rows.groupBy("g", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(classes := {y for _, y in seen}) < 2:
+        plain.shift = 0.0 if not classes else 40.0 if 1 in classes else -40.0
+        return plain
 
     def ratio(without: int | None) -> Column:
         """The likelihood ratio of presence against absence in both classes, over all folds but one."""
