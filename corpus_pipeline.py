@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.replace_entities(docs)
+    out = pii.replace_entities(docs, pii.session_key(spark))
     return out.select(*[F.length("text").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
