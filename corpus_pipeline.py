@@ -2,8 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir). A stage's result is written as Parquet in the shared folder and read
 again as the next one's docs, so a lost executor costs the running stage at most. All stages but the last keep the columns
-of documents. SQL can't express the classifier, the tokeniser or the packing, so there is no oracle; tests hold the
-stages against plain versions.
+of documents. SQL can't express the classifier, the tokeniser or the packing, so there is no oracle; tests hold near
+duplicates and the mix against plain versions, the classifier by held-out labels, packing by a round trip.
 """
 
 from __future__ import annotations
