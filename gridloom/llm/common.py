@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.plans.scratch import shared_dir
 from gridloom.plans.shipping import ship
 
 #: A word, by the contracts: a run of bytes other than ASCII white space.
@@ -19,17 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; local sessions without one get a temporary folder."""
-    got = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not got:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        got = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -123,17 +113,26 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-#: Bits of the fixed-size filter below: at most 8 MB of rows whatever the data. It only saves work; a full filter lets all through.
-FILTER_BITS = 1 << 25
+#: Most bits of the filter below: 4,194,304 rows of 16 bytes (67 MB) to broadcast, whatever the data.
+FILTER_BITS = 1 << 28
+
+
+def filter_bits(n: int) -> int:
+    """Bits for n ids: 16 to 32 an id, so 3 to 6 % of other rows pass, up to the bound. Beyond it more and more do; results stay."""
+    return min(FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
 
 
 def id_filter(ids: DataFrame, column: str) -> Callable[[DataFrame, str], tuple[DataFrame, DataFrame]]:
-    """A split of any table by whether its id may be among ids (no false 'no'; null ids are never among them).
+    """A split of any table by whether its id may be among ids (a written table; no false 'no'; null ids are never among them).
 
-    The bitmap's words, FILTER_BITS / 64 rows at most, are summed up on the executors and broadcast; the test is a join
-    with them and a bit operation, so it needs no Python.
+    The bitmap is as large as the ids ask for, with a bound. Its words are summed up on the executors and broadcast; the
+    test is a join with them and a bit operation, so it needs no Python.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    n = ids.count()
+    bits = filter_bits(n)
+    if n > bits:
+        warnings.warn(f"{n} ids fill the filter of {bits} bits; most rows will be shuffled", stacklevel=2)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = (
         ids.select(slot(F.col(column)).alias("s")).groupBy(F.shiftright("s", 6).alias("_gridloom_w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("_gridloom_b"))
@@ -149,6 +148,24 @@ def id_filter(ids: DataFrame, column: str) -> Callable[[DataFrame, str], tuple[D
     return split
 
 
+#: A key is hot if it has more rows than this and than a HOT_KEYS-th of all, so there are never more than HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 4096, 65536
+
+
+def is_hot(n: str, total: int) -> Column:
+    return F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with table, which has each key once, with the number n of rows that have it; total: all rows.
+
+    Rows of hot keys stay where they are and meet a broadcast of at most HOT_KEYS rows; the others are shuffled.
+    """
+    hot = is_hot(n, total)
+    there = rows.join(F.broadcast(table.where(hot)), keys)
+    return there.unionByName(rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot), keys))
+
+
 def among(df: DataFrame, ids: DataFrame, keys: list[str], present: bool = True) -> DataFrame:
     """Rows of df whose keys are in ids (distinct in keys), or those whose keys are not; df comes from id_filter.
 

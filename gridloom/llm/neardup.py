@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import tokens
-from gridloom.llm.common import Scratch, among, id_filter, list_array, map_text, only
+from gridloom.llm.common import Scratch, among, id_filter, is_hot, join_hot, list_array, map_text, only
 from gridloom.llm.graph import components
 
-SKETCH, INDEX, LIST = 48, 24, 32
+SKETCH, INDEX, LIST, BLOCK = 48, 24, 32, 2048
 
 
 def _signed(names: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     p = percent / 100
     floor = F.size("u") * p - 5 * F.sqrt(F.size("u") * p * (1 - p))
     likely = scratch.table(joined.where(fits).withColumn("u", union).where(shared >= floor).select("a", "b"))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = scratch.table(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     maybe, _ = id_filter(wanted, "node")(docs, "doc_id")
     sets = scratch.table(_sets(among(maybe, wanted.withColumnRenamed("node", "doc_id"), ["doc_id"]), width).distinct())
     sa, sb = sets.select(F.col("node").alias("a"), F.col("names").alias("na")), sets.select(F.col("node").alias("b"), F.col("names").alias("nb"))
@@ -114,10 +114,12 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 
 def _by_size(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of lists with 2 to LIST members, and of longer ones."""
+    """Rows (a written table) of lists with 2 to LIST members, and of longer ones; none of a long list's rows meet in a task."""
+    total = rows.count()
     n = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    held = rows.join(n, key)
-    return held.where(F.col("members") <= LIST).drop("members"), held.where(F.col("members") > LIST).drop("members")
+    hot = F.broadcast(n.where(is_hot("members", total)).select(key))
+    short = rows.join(hot, key, "left_anti").join(n.where(F.col("members") <= LIST), key)
+    return short.drop("members"), join_hot(rows, n.where(F.col("members") > LIST), [key], "members", total).drop("members")
 
 
 def _pairs(rows: DataFrame, key: str) -> DataFrame:
@@ -160,7 +162,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int,
     more2 = scratch.table(more2)
     three, dense = _by_size(more2, "k3")
     dense = scratch.table(dense.select(F.col("k3").alias("k"), "node").distinct())
-    star = dense.join(dense.groupBy("k").agg(F.min("node").alias("a")), "k").where("a < node").select("a", F.col("node").alias("b"))
+    star = join_hot(dense, dense.groupBy("k").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")), ["k"], "n", dense.count()).where("a < node").select("a", F.col("node").alias("b"))
     first = _pairs(one, "k1").union(_pairs(two, "k2")).union(_pairs(three, "k3")).union(star).distinct()
     links = scratch.table(_confirm(first, classes, docs, width, percent, scratch).union(_short_links(classes, percent)))
     for t in (posted, more, more2):
@@ -180,12 +182,15 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int,
             sizes = dense.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
             main = sizes.groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
             lists = dense.groupBy("node").agg(F.collect_set("k").alias("ks"))
-            held = _bounded_sets(dense.select("node").distinct(), docs, width, scratch).join(lists, "node")
-            full = scratch.table(dense.join(held, "node").join(main, "k"))
-            rest = full.where("c <> main").select("k", *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "names", "n", "s", "ks")])
+            held = _bounded_sets(scratch.table(dense.select("node").distinct()), docs, width, scratch).join(lists, "node")
+            # a list's documents are dealt to blocks of about BLOCK; those outside its main component go to each block
+            main = main.join(sizes.groupBy("k").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "k")
+            full = scratch.table(dense.join(held, "node").join(main, "k").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")))
+            rest = full.where("c <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            rest = rest.select("k", "block", *[F.col(c).alias(f"x_{c}") for c in ("node", "c", "names", "n", "s", "ks")])
             both = "size(array_intersect(names, x_names))"
             links = links.union(
-                rest.join(full, "k").where(
+                rest.join(full, ["k", "block"]).where(
                     "c <> x_c and (c = main or node < x_node)"
                     f" and least(s, x_s) * {100 + percent} >= {percent} * (n + x_n)"
                     " and k = array_min(array_intersect(ks, x_ks))"

@@ -91,7 +91,7 @@ PATTERNS = {
 }
 REGEX = "|".join(PATTERNS.values())
 #: A cheap test that every match passes.
-HINT = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api.?key)|(?=\p{Lu})(?:" + _any([*_TITLE_WORDS, *[w.upper() for w in _TITLE_WORDS], *_GIVEN_WORDS, *[w.upper() for w in _GIVEN_WORDS]]) + ")|" + _CUE
+HINT = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api.?key)|(?=\p{Lu})(?:" + _any([*_TITLE_WORDS, *[w.upper() for w in _TITLE_WORDS], *_GIVEN_WORDS, *[w.upper() for w in _GIVEN_WORDS]]) + r")\.? |" + _CUE
 
 
 def session_key(spark: SparkSession) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import tokens
-from gridloom.llm.common import Scratch, among, id_filter, map_text, only
+from gridloom.llm.common import Scratch, among, id_filter, join_hot, map_text, only
 
 WINDOW, ROUNDS = 50, 4
 _C1, _C2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -164,12 +164,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     maybe, surely = id_filter(copies, "doc_id")(docs, "doc_id")
     single = surely.union(among(maybe, copies, ["doc_id", "t"], present=False).select(*surely.columns))
     all_ranges = scratch.table(_ranges(single, window))
-    shared = all_ranges.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    met = scratch.table(all_ranges.join(shared, "key"))
+    shared = all_ranges.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").select("key", "rows")
+    met = scratch.table(join_hot(all_ranges, shared, ["key"], "rows", all_ranges.count()).drop("rows"))
     scratch.drop(all_ranges)
-    firsts = scratch.table(met.groupBy("key", "span").agg(F.min("doc_id").alias("first")))
+    firsts = scratch.table(met.groupBy("key", "span").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
     open_ = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.lit(True).alias("open"))
-    judged = scratch.table(met.join(firsts, ["key", "span"]).join(open_, "key", "left"))
+    judged = scratch.table(join_hot(met, firsts.join(open_, "key", "left"), ["key", "span"], "rows", met.count()).drop("rows"))
     scratch.drop(met)
     whole = judged.where("first < doc_id").select("doc_id", "t", F.col("s").cast("int").alias("a"), (F.col("s") + F.col("n") + (window - 1)).cast("int").alias("z"))
     # at most one entry for each window of a document
@@ -177,8 +177,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts, _ = id_filter(ask, "doc_id")(docs, "doc_id")
     asked = texts.join(ask, ["doc_id", "t"]).select(F.struct("doc_id", "t", "at").alias("r"), "text")
     wins = scratch.table(_windows(asked, window))
-    early = wins.groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "h1", "h2", "low")
-    part = wins.join(early, ["key", "h1", "h2"]).where("doc_id > low").select("doc_id", "t", F.col("s").alias("a"), (F.col("s") + window).cast("int").alias("z"))
+    early = wins.groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").drop("high")
+    part = join_hot(wins, early, ["key", "h1", "h2"], "rows", wins.count()).where("doc_id > low").select("doc_id", "t", F.col("s").alias("a"), (F.col("s") + window).cast("int").alias("z"))
     copied = copies.select("doc_id", "t", F.lit(0).alias("a"), F.col("n_words").cast("int").alias("z"))
     return scratch.table(whole.union(part).union(copied).groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
 

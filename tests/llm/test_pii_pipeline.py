@@ -139,3 +139,79 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def test_pipeline_on_hard_and_empty_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing names pass every stage; filters keep rows as they are."""
+    import corpus_pipeline
+
+    for df in (cases.hard(spark), cases.empty(spark)):
+        docs, names = df, df.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "/root/testdata/sf0.001").cache()
+            assert out.columns == names, name
+            if name in ("toxicity", "near_duplicates"):
+                assert out.exceptAll(docs).count() == 0, name
+            docs = out
+        assert docs.count() == 0 or {r.doc_id for r in docs.collect()} >= {4, 7, 8}
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() >= docs.count()
+
+
+def shingles(text, width):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    """Every pair of the thousand documents of sf0.01: the stage keeps the smallest doc_id of each component, and nothing else."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text, 5) for r in docs.collect()}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)):
+                both = len(x & y)
+                if 100 * both >= 80 * (len(x) + len(y) - both):
+                    p, q = sorted((top(a), top(b)))
+                    root[q] = p
+    want = {i for i in ids if top(i) == i}
+    assert len(want) < len(ids)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_mix_stage_against_a_plain_version(spark):
+    """The stage's copies and leading parts hold the words that the mix says it takes, of each document."""
+    import corpus_pipeline
+    from gridloom.llm import mixing
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect()}
+    got = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text)
+        assert words == text[r.doc_id][: len(words)] and r.n_chars == len(r.text)
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(words)
+    assert got == {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
+
+
+def test_toxicity_stage_never_judges_by_a_texts_own_label(spark):
+    """Flipping one document's label doesn't change whether that document is kept."""
+    from gridloom.llm import toxicity
+
+    docs = spark.createDataFrame([(i, ("vile scum " if i % 4 == 0 else "plain words ") + f"text{i % 7} and more") for i in range(240)], "doc_id long, text string")
+    labels = [(i, int(i % 4 == 0)) for i in range(240)]
+    kept = lambda rows: {r.doc_id for r in toxicity.drop_toxic(docs, spark.createDataFrame(rows, "doc_id long, toxic int")).collect()}
+    first = kept(labels)
+    assert first == {i for i in range(240) if i % 4}
+    for one in (0, 1):
+        assert (one in kept([(i, 1 - y if i == one else y) for i, y in labels])) == (one in first)
