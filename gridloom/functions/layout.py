@@ -17,6 +17,72 @@ def mm_to_pt(c: Column) -> Column:
     return c * POINTS_A_MM
 
 
+def pt_to_mm(c: Column) -> Column:
+    return c / POINTS_A_MM
+
+
+def px_a_mm(scale: Column) -> Column:
+    """Cells a mm from points a cell; 0 where no scale is set."""
+    return F.when(scale > 0, POINTS_A_MM / scale).otherwise(0.0)
+
+
+def content_box(width_mm: float, height_mm: float, margin_mm: float) -> tuple[float, float, float, float]:
+    """(x, y, width, height) in pt inside the margins."""
+    w, h = width_mm - 2 * margin_mm, height_mm - 2 * margin_mm
+    if w <= 0 or h <= 0:
+        raise ValueError("the margins leave no page")
+    return margin_mm * POINTS_A_MM, margin_mm * POINTS_A_MM, w * POINTS_A_MM, h * POINTS_A_MM
+
+
+def fixed(c: Column, decimals: int = 3) -> Column:
+    """Text with fixed decimals as C prints it: by the exact binary value, ties to even; minus zero is zero. |c| < 2^52, decimals <= 3.
+
+    The fraction times 2^52 is a whole number, so all is exact in 64 bits; what lies below that only breaks ties.
+    """
+    ten, bit = 10**decimals, 1 << 52
+    whole = F.floor(F.abs(c)).cast("bigint")
+    m = (F.abs(c) - whole.cast("double")) * float(bit)
+    n = F.floor(m).cast("bigint")
+    t = n * ten
+    q, r = F.shiftright(t, 52), t.bitwiseAND(F.lit(bit - 1))
+    up = (r > bit // 2) | ((r == bit // 2) & ((m != n.cast("double")) | (q % 2 == 1)))
+    k = whole * ten + q + up.cast("bigint")
+    digits = F.concat(F.floor(k / ten).cast("string"), F.lit("."), F.lpad((k % ten).cast("string"), decimals, "0"))
+    return F.concat(F.when((c < 0) & (k > 0), "-").otherwise(""), digits)
+
+
+def escaped(c: Column) -> Column:
+    """Text for XML."""
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def text_box(digits: Column, size: Column) -> tuple[Column, Column]:
+    """Width and height of printed digits."""
+    return digits * DIGIT_WIDTH * size, size * DIGIT_HEIGHT
+
+
+def micro_size(radius: Column, digits: Column) -> Column:
+    """A readable size (4.5) where the cell allows it, never across its border (0.16 kept free), 1 at least."""
+    most = 2 * F.greatest(radius - 0.16, F.lit(0.0)) / F.sqrt(F.pow(digits * DIGIT_WIDTH, F.lit(2.0)) + DIGIT_HEIGHT**2)
+    return F.greatest(F.least(F.greatest(fitted_size(radius, digits), F.lit(4.5)), most), F.lit(1.0))
+
+
+def speck_floor(diameter_mm: Column, px_a_mm_: Column, divisor: int = 16) -> Column:
+    """Cells below which a region is a speck."""
+    return F.greatest(F.lit(4), F.floor(math.pi * F.pow(diameter_mm / 2 * px_a_mm_, F.lit(2.0)) / divisor).cast("int"))
+
+
+def tolerance_scale(area: Column, diameter_mm: float) -> Column:
+    """A factor of at most 1 for faces below nine times the least area (in pt; the diameter counts as 2.5 mm at least)."""
+    least = math.pi * (max(diameter_mm, 2.5) / 2 * POINTS_A_MM) ** 2
+    return F.least(F.lit(1.0), F.sqrt(F.greatest(area, F.lit(0.0)) / (9 * least)))
+
+
+def stage_seed(seed: Column, stage: str, mark: str = "\x1f") -> Column:
+    """The first 8 bytes of SHA-256 over seed, mark and stage, as an unsigned number's text."""
+    return F.conv(F.substring(F.sha2(F.concat(seed.cast("string"), F.lit(mark + stage)).cast("binary"), 256), 1, 16), 16, 10)
+
+
 def code_of(n: Column) -> Column:
     """The one-character code of place n (1 to 36); others raise."""
     return F.when(n.between(1, len(CODES)), F.substring(F.lit(CODES), n.cast("int"), F.lit(1))).otherwise(F.raise_error(F.concat(F.lit("no code for "), n.cast("string"))))

@@ -4,97 +4,74 @@ from __future__ import annotations
 
 import heapq
 import math
-from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridloom.kernels import cracks
 from gridloom.plans.shipping import ship
 
-# directions on the corner grid: east, south, west, north
-STEP = ((0, 1), (1, 0), (0, -1), (-1, 0))
-
-
-def trace_arcs(regions: np.ndarray) -> list[tuple[int, int, bool, list[tuple[int, int]]]]:
-    """(left, right, closed, corners) of every maximal boundary chain of constant sides; the outside is -1.
-
-    Chains end at junctions (three or more regions meet, or a page corner); at a crossing of two regions the walk keeps
-    its sides, left turns first. Loops without a junction follow, from their first corner in raster order. The lesser
-    side stays on the left.
-    """
-    h, w = regions.shape
-    pad = np.full((h + 2, w + 2), -1, np.int64)
-    pad[1:-1, 1:-1] = regions
-
-    def sides(v: int, u: int, d: int) -> tuple[int, int]:
-        """(left, right) region of the unit step d from corner (v, u)."""
-        nw, ne, sw, se = pad[v, u], pad[v, u + 1], pad[v + 1, u], pad[v + 1, u + 1]
-        return ((ne, se), (se, sw), (sw, nw), (nw, ne))[d]
-
-    def exists(v: int, u: int, d: int) -> bool:
-        y, x = v + STEP[d][0], u + STEP[d][1]
-        if not (0 <= y <= h and 0 <= x <= w):
-            return False
-        a, b = sides(v, u, d)
-        return a != b
-
-    block = np.sort(np.stack([pad[:-1, :-1], pad[:-1, 1:], pad[1:, :-1], pad[1:, 1:]]), axis=0)
-    stop = (np.diff(block, axis=0) != 0).sum(0) >= 2
-    stop[[0, 0, -1, -1], [0, -1, 0, -1]] = True
-    seen: set[tuple[int, int, int]] = set()
-
-    def mark(v: int, u: int, d: int) -> bool:
-        key = (v, u, d) if d < 2 else (v + STEP[d][0], u + STEP[d][1], d - 2)
-        if key in seen:
-            return False
-        seen.add(key)
-        return True
-
-    def walk(v: int, u: int, d: int):
-        left, right = sides(v, u, d)
-        points = [(v, u)]
-        while mark(v, u, d):
-            v, u = v + STEP[d][0], u + STEP[d][1]
-            points.append((v, u))
-            if stop[v, u]:
-                break
-            for turn in (3, 0, 1):
-                n = (d + turn) % 4
-                if exists(v, u, n) and sides(v, u, n) == (left, right):
-                    d = n
-                    break
-        closed = points[0] == points[-1]
-        if left > right:
-            left, right, points = right, left, points[::-1]
-        return int(left), int(right), closed, points
-
-    arcs = []
-    starts = [(int(v), int(u)) for v, u in np.argwhere(stop)]
-    free = [(int(v), int(u)) for v, u in np.argwhere(~stop)]
-    for v, u in starts + free:
-        for d in range(4):
-            if exists(v, u, d):
-                key = (v, u, d) if d < 2 else (v + STEP[d][0], u + STEP[d][1], d - 2)
-                if key not in seen:
-                    arcs.append(walk(v, u, d))
-    return sorted(arcs, key=lambda a: (min(a[3]), a[0], a[1], a[3]))
+#: Cells of the largest image that one task traces (about 2 GB there); larger ones raise.
+MOST_CELLS = 30_000_000
+
+
+def dense(table: pa.Table, name: str) -> np.ndarray:
+    """The named column of one image's rows as an array; cells without a row are -1."""
+    y, x, v = (table.column(c).to_numpy() for c in ("y", "x", name))
+    shape = int(y.max()) + 1, int(x.max()) + 1
+    if shape[0] * shape[1] > MOST_CELLS:
+        raise ValueError(f"{shape[1]} x {shape[0]} cells are more than one task traces")
+    grid = np.full(shape, -1, np.int64)
+    grid[y, x] = v
+    return grid
 
 
 def arcs(cells: DataFrame) -> DataFrame:
-    """(image, arc, left_region, right_region, closed, vs, us) from cells with region; images are independent."""
+    """(image, arc, left_region, right_region, closed, vs, us) from cells with region; one task an image, at most MOST_CELLS."""
     ship(cells.sparkSession)
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.full((pdf["y"].max() + 1, pdf["x"].max() + 1), -1, np.int64)
-        grid[pdf["y"], pdf["x"]] = pdf["region"]
-        found = trace_arcs(grid)
-        return pd.DataFrame(
-            [(key[0], i, a, b, c, [p[0] for p in pts], [p[1] for p in pts]) for i, (a, b, c, pts) in enumerate(found)],
-            columns=["image", "arc", "left_region", "right_region", "closed", "vs", "us"],
-        )
+    def run(key, table):
+        found = cracks.arcs(dense(table, "region"))
+        return pa.table({
+            "image": pa.array([key[0].as_py()] * len(found), pa.string()), "arc": pa.array(range(len(found)), pa.int32()),
+            "left_region": pa.array([a.left for a in found], pa.int32()), "right_region": pa.array([a.right for a in found], pa.int32()), "closed": pa.array([a.closed for a in found], pa.bool_()),
+            "vs": pa.array([a.points[:, 0].astype(np.int32) for a in found], pa.list_(pa.int32())), "us": pa.array([a.points[:, 1].astype(np.int32) for a in found], pa.list_(pa.int32())),
+        })
+
+    return cells.select("image", "y", "x", "region").groupBy("image").applyInArrow(run, "image string, arc int, left_region int, right_region int, closed boolean, vs array<int>, us array<int>")
 
-    return cells.select("image", "y", "x", "region").groupBy("image").applyInPandas(run, "image string, arc int, left_region int, right_region int, closed boolean, vs array<int>, us array<int>")
+
+def faces(cells: DataFrame) -> DataFrame:
+    """(image, region, part, hole, arcs, backwards, vs, us, area): the outer walk (part 0) and the holes of every region, on the corner grid."""
+    ship(cells.sparkSession)
+    schema = "image string, region int, part int, hole boolean, arcs array<int>, backwards array<boolean>, vs array<int>, us array<int>, area double"
+
+    def run(key, table):
+        regions = dense(table, "region")
+        found = cracks.arcs(regions)
+        points, rows = [a.points for a in found], []
+        for f in cracks.faces(found, int(regions.max()) + 1):
+            for k, walk in enumerate([f.outer, *f.holes]):
+                p = cracks.ring(walk, points)
+                rows.append((f.region, k, k > 0, [a for a, _ in walk], [b for _, b in walk], p[:, 0].astype(np.int32), p[:, 1].astype(np.int32), cracks.signed_area(p)))
+        kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64()]
+        names = ["region", "part", "hole", "arcs", "backwards", "vs", "us", "area"]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(rows), pa.string()), *columns], names=["image", *names])
+
+    return cells.select("image", "y", "x", "region").groupBy("image").applyInArrow(run, schema)
+
+
+def topology_proof(cells: DataFrame) -> DataFrame:
+    """(image, twice, missing, wrong_sides, euler): what must be 0 for each image's arcs."""
+    ship(cells.sparkSession)
+
+    def run(key, table):
+        regions = dense(table, "region")
+        return pa.table({"image": [key[0].as_py()], **{k: pa.array([v], pa.int32()) for k, v in cracks.proof(regions, cracks.arcs(regions)).items()}})
+
+    return cells.select("image", "y", "x", "region").groupBy("image").applyInArrow(run, "image string, twice int, missing int, wrong_sides int, euler int")
 
 
 def signed_distance(x: float, y: float, ring: np.ndarray) -> float:
@@ -137,8 +114,6 @@ def pole(ring: np.ndarray, precision: float = 0.5) -> tuple[float, float, float]
 
 def poles(rings: DataFrame, key: str, precision: float = 0.5) -> DataFrame:
     """(key, x, y, clearance) of rings given as (key, xs, ys); each ring on its own, without a shuffle."""
-    import pyarrow as pa
-
     ship(rings.sparkSession)
     kind = dict(rings.dtypes)[key]
 

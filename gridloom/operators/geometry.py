@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gridloom.kernels import curves
 from gridloom.plans.shipping import ship
 
 
@@ -66,49 +66,22 @@ def box_overlaps(boxes: DataFrame, cell: float, keys: list[str]) -> DataFrame:
     return j.where(own).select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-def simplify_ring_free(xy: np.ndarray, tolerance: float) -> np.ndarray:
-    """Visvalingam-Whyatt on an open polyline: indices kept; the least triangle (ties: first vertex) goes while below tolerance squared."""
-    n = len(xy)
-    if n < 3:
-        return np.arange(n)
-    before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-
-    def area(i: int) -> float:
-        (ax, ay), (bx, by), (cx, cy) = xy[before[i]], xy[i], xy[after[i]]
-        return abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay)) / 2
-
-    now = [0.0] * n
-    heap = []
-    for i in range(1, n - 1):
-        now[i] = area(i)
-        heap.append((now[i], i))
-    heapq.heapify(heap)
-    while heap:
-        a, i = heapq.heappop(heap)
-        if not alive[i] or a != now[i]:
-            continue
-        if a >= tolerance * tolerance:
-            break
-        alive[i] = False
-        p, q = before[i], after[i]
-        after[p], before[q] = q, p
-        for j in (p, q):
-            if 0 < j < n - 1:
-                now[j] = area(j)
-                heapq.heappush(heap, (now[j], j))
-    return np.flatnonzero(alive)
-
-
-def simplify(polylines: DataFrame, key: str, tolerance: float) -> DataFrame:
-    """(key, xs, ys) with simplified coordinate arrays; each polyline on its own, in Arrow batches without a shuffle."""
+def simplify(polylines: DataFrame, key: str, tolerance: float, closed: bool = False) -> DataFrame:
+    """(key, xs, ys) with simplified coordinate arrays; each polyline (or ring) on its own, in Arrow batches without a shuffle."""
     ship(polylines.sparkSession)
     kind = dict(polylines.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs, ys = b.column(1).to_pylist(), b.column(2).to_pylist()
-            kept = [simplify_ring_free(np.column_stack((x, y)).astype(float), tolerance) if x else [] for x, y in zip(xs, ys, strict=True)]
-            cut = [[[v[i] for i in k] for v, k in zip(c, kept, strict=True)] for c in (xs, ys)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut[0], pa.list_(pa.float64())), pa.array(cut[1], pa.list_(pa.float64()))], [key, "xs", "ys"])
+            xs, ys = b.column(1), b.column(2)
+            if not b.num_rows:
+                continue
+            size = xs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = np.column_stack((xs.flatten().to_numpy(), ys.flatten().to_numpy()))
+            begin = np.cumsum(size) - size
+            kept = [i + curves.simplify(flat[i : i + n], tolerance, closed) for i, n in zip(begin.tolist(), size.tolist(), strict=True)]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in kept]))).astype(np.int32))
+            at = np.concatenate(kept).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.ListArray.from_arrays(offsets, pa.array(flat[at, c])) for c in (0, 1)]], [key, "xs", "ys"])
 
     return polylines.select(key, F.col("xs").cast("array<double>"), F.col("ys").cast("array<double>")).mapInArrow(run, f"{key} {kind}, xs array<double>, ys array<double>")

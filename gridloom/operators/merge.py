@@ -2,65 +2,36 @@
 
 from __future__ import annotations
 
-import heapq
-from typing import Any
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.kernels.maps import contract
 from gridloom.plans.shipping import ship
 
 
-def contract(regions: dict[int, tuple[int, int, float]], edges: dict[tuple[int, int], int], delta: dict[tuple[int, int], float], floor: float, weight: float) -> dict[int, int]:
-    """region -> region it ends in. regions: id -> (label, area, perimeter); the smallest (area, id) below floor goes first.
+def merge_tiny(records: DataFrame, edges: DataFrame, perimeter: DataFrame, lab: np.ndarray, delta: np.ndarray, floor: float, weight: float = 15.0, dark: float = 0.0, lighter: float = 0.0) -> DataFrame:
+    """(image, region, into) for every region; the region graph of an image, not its cells, goes to one task.
 
-    The target has the least delta - weight * border / perimeter, then the largest area, then the lowest id.
+    lab and delta: the palette and its differences, by label (at most 64). A region darker than `dark` whose neighbours are all
+    lighter by `lighter` or more stays as it is.
     """
-    label = {r: v[0] for r, v in regions.items()}
-    area = {r: v[1] for r, v in regions.items()}
-    rim = {r: v[2] for r, v in regions.items()}
-    near: dict[int, dict[int, int]] = {r: {} for r in regions}
-    for (a, b), w in edges.items():
-        near[a][b] = near[b][a] = w
-    into = {r: r for r in regions}
-    heap = [(a, r) for r, a in area.items() if a < floor]
-    heapq.heapify(heap)
-    while heap:
-        a, r = heapq.heappop(heap)
-        if into[r] != r or area[r] != a or not near[r]:
-            continue
-        cost = lambda n: delta.get((label[r], label[n]), 0.0) - weight * near[r][n] / rim[r]  # noqa: B023, E731
-        t = min(near[r], key=lambda n: (cost(n), -area[n], n))
-        into[r] = t
-        area[t] += a
-        rim[t] += rim[r] - 2 * near[r][t]
-        for n, w in near.pop(r).items():
-            del near[n][r]
-            if n != t:
-                near[t][n] = near[n][t] = near[t].get(n, 0) + w
-        if area[t] < floor:
-            heapq.heappush(heap, (area[t], t))
-
-    def end(r: int) -> int:
-        while into[r] != r:
-            r = into[r]
-        return r
-
-    return {r: end(r) for r in regions}
-
-
-def merge_tiny(records: DataFrame, edges: DataFrame, perimeter: DataFrame, delta: dict[tuple[int, int], float], floor: float, weight: float = 15.0) -> DataFrame:
-    """(image, region, into) for every region; the region graph of an image, not its cells, goes to one task."""
     ship(records.sparkSession)
-    rows = records.join(perimeter, ["image", "region"]).select("image", F.struct("region", "label", "area", F.col("perimeter").cast("double").alias("perimeter"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("long").alias("w")).alias("r"))
-    links = edges.select("image", F.struct(F.col("a").alias("region"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("long").alias("area"), F.lit(None).cast("double").alias("perimeter"), "b", "w").alias("r"))
-
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pd.DataFrame(list(pdf["r"]))
-        own, link = g[g["b"].isna()], g[g["b"].notna()]
-        regions = {int(r.region): (int(r.label), int(r.area), float(r.perimeter)) for r in own.itertuples()}
-        got = contract(regions, {(int(r.region), int(r.b)): int(r.w) for r in link.itertuples()}, delta, floor, weight)
-        return pd.DataFrame({"image": key[0], "region": list(got), "into": list(got.values())})
-
-    return rows.unionByName(links).groupBy("image").applyInPandas(run, "image string, region int, into int")
+    number = lambda c: F.col(c).cast("bigint").alias(c)
+    rows = records.join(perimeter, ["image", "region"]).select("image", number("region"), number("label"), number("area"), number("perimeter"), F.lit(None).cast("bigint").alias("b"))
+    links = edges.select("image", F.col("a").cast("bigint").alias("region"), F.lit(None).cast("bigint").alias("label"), F.col("w").cast("bigint").alias("area"), F.lit(None).cast("bigint").alias("perimeter"), number("b"))
+
+    def run(key, table):
+        own = table.filter(pa.compute.is_null(table.column("b")))
+        link = table.filter(pa.compute.is_valid(table.column("b")))
+        name, label, area, rim = (own.column(c).to_numpy() for c in ("region", "label", "area", "perimeter"))
+        order = np.argsort(name)
+        place = {int(v): i for i, v in enumerate(name[order])}
+        at = lambda c: np.array([place[v] for v in link.column(c).to_pylist()], np.int64)
+        spared = (lambda k, near: lab[k, 0] < dark and all(lab[m, 0] - lab[k, 0] >= lighter for m in near)) if dark > 0 else None
+        end = contract(label[order], area[order], rim[order], (at("region"), at("b"), link.column("area").to_numpy()), lambda k, m, border, mine: delta[k, m] - weight * border / mine, floor, spared)
+        return pa.table({"image": pa.array([key[0].as_py()] * len(end), pa.string()), "region": pa.array(name[order].astype(np.int32)), "into": pa.array(name[order][end].astype(np.int32))})
+
+    return rows.unionByName(links).groupBy("image").applyInArrow(run, "image string, region int, into int")

@@ -1,21 +1,29 @@
 """Neighbourhood operators over dense grids (image, y, x, ...): distances, dilation, area resize, structural similarity.
 
-Every step is partitioned by a row or a column of one image, never by a whole image.
+Every step is partitioned by a row, a column, a band or a tile of one image, never by a whole image.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gridloom.kernels import filters
+from gridloom.kernels.maps import shifted
+from gridloom.operators.tiles import Patch, over_tiles
+from gridloom.plans.shipping import ship
 
-def distance_transform(cells: DataFrame, feature: Column) -> DataFrame:
+
+def distance_transform(cells: DataFrame, feature: Column, band: int = 64) -> DataFrame:
     """(image, y, x, d2, near_y, near_x): squared Euclidean distance to the nearest cell where feature holds.
 
     Ties go to the smallest (near_y, near_x); all three are null in an image without such cells. The nearest one of each
-    column is found by two running windows, then each row looks through its columns (at most the image's width).
+    column is found by two running windows, then bands of rows look along their rows, each band in one task.
     """
+    ship(cells.sparkSession)
     col = W.partitionBy("image", "x").orderBy("y")
     at = F.when(feature, F.col("y"))
     both = cells.select(
@@ -23,20 +31,33 @@ def distance_transform(cells: DataFrame, feature: Column) -> DataFrame:
         F.first(at, True).over(col.rowsBetween(0, W.unboundedFollowing)).alias("down"),
     )
     near = F.when(F.col("down").isNull() | (F.col("y") - F.col("up") <= F.col("down") - F.col("y")), F.col("up")).otherwise(F.col("down"))
-    rows = both.withColumn("n", near).groupBy("image", "y").agg(
-        F.collect_list("x").alias("xs"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "x"))).alias("s"),
-    )
-    each = rows.select("image", "y", "s", F.explode("xs").alias("x"))
-    best = F.expr("array_min(transform(s, c -> struct(bigint(c.n - y) * (c.n - y) + bigint(c.x - x) * (c.x - x) as d2, c.n as near_y, c.x as near_x)))")
-    return each.select("image", "y", "x", best.alias("b")).select("image", "y", "x", "b.d2", "b.near_y", "b.near_x")
+    rows = both.select("image", "y", "x", F.coalesce(near, F.lit(-1)).alias("n"), F.floor(F.col("y") / band).alias("band"))
+
+    def run(key, table):
+        y, x, n = (table.column(c).to_numpy() for c in ("y", "x", "n"))
+        low = int(y.min())
+        grid = np.full((int(y.max()) - low + 1, int(x.max()) + 1), -1, np.int64)
+        there = np.zeros(grid.shape, bool)
+        grid[y - low, x], there[y - low, x] = n, True
+        d, ny, nx = filters.row_distance((grid - (np.arange(len(grid)) + low)[:, None]) ** 2, grid)
+        py, px = np.nonzero(there)
+        none = d[py, px] < 0
+        out = [pa.array(v, mask=none) for v in (d[py, px], ny[py, px].astype(np.int32), nx[py, px].astype(np.int32))]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(py), pa.string()), pa.array((py + low).astype(np.int32)), pa.array(px.astype(np.int32)), *out], names=["image", "y", "x", "d2", "near_y", "near_x"])
+
+    return rows.groupBy("image", "band").applyInArrow(run, "image string, y int, x int, d2 long, near_y int, near_x int")
 
 
 def dilate(cells: DataFrame, feature: Column, steps: int) -> DataFrame:
-    """cells with grown: feature holds there or within this many 4-neighbour steps (a diamond, so one pass does all steps)."""
-    reach = F.expr(f"flatten(transform(sequence(-{steps}, {steps}), dy -> transform(sequence(abs(dy) - {steps}, {steps} - abs(dy)), dx -> struct(dy, dx))))")
-    hit = cells.where(feature).select("image", "y", "x", F.explode(reach).alias("o"))
-    hit = hit.select("image", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct().withColumn("grown", F.lit(True))
-    return cells.join(hit, ["image", "y", "x"], "left").withColumn("grown", F.coalesce("grown", F.lit(False)))
+    """(image, y, x, grown): feature holds there or within this many 4-neighbour steps."""
+
+    def run(p: Patch) -> dict[str, np.ndarray]:
+        m = p.values["f"] == 1
+        for _ in range(steps):
+            m = m | np.logical_or.reduce([shifted(m, dy, dx, False) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+        return p.rows({"grown": m})
+
+    return over_tiles(cells.select("image", "y", "x", feature.cast("int").alias("f")), ["f"], run, "y int, x int, grown boolean", reach=steps)
 
 
 def resize_area(pixels: DataFrame, most: int, values: list[str]) -> DataFrame:

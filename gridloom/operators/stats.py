@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.functions import color
+from gridloom.operators.tiles import Patch, over_tiles
 
 BINS = 64
 
@@ -40,15 +42,21 @@ def entropy_bits(histogram: DataFrame) -> DataFrame:
 
 def edge_density(lab: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Share of pixels whose 3x3 Sobel magnitude on L/100 exceeds threshold; borders mirror without the edge row."""
-    size = lab.groupBy("image").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    steps = F.explode(F.expr("flatten(transform(sequence(-1, 1), dy -> transform(sequence(-1, 1), dx -> struct(dy, dx))))"))
-    fold = lambda v, top: F.when(v < 0, -v).when(v > top, 2 * top - v).otherwise(v)
-    asked = lab.select("image", "y", "x").join(F.broadcast(size), "image").withColumn("o", steps)
-    asked = asked.select("image", F.col("y").alias("y0"), F.col("x").alias("x0"), "o", fold(F.col("y") + F.col("o.dy"), F.col("h")).alias("y"), fold(F.col("x") + F.col("o.dx"), F.col("w")).alias("x"))
-    v = F.col("cl") / 100
-    gx = F.sum(F.col("o.dx") * (2 - F.abs("o.dy")) * v)
-    gy = F.sum(F.col("o.dy") * (2 - F.abs("o.dx")) * v)
-    return asked.join(lab.select("image", "y", "x", "cl"), ["image", "y", "x"]).groupBy("image", "y0", "x0").agg(F.hypot(gx, gy).alias("m")).groupBy("image").agg(F.avg((F.col("m") > threshold).cast("double")).alias("edge_density"))
+
+    def run(p: Patch) -> dict[str, np.ndarray]:
+        v = p.values["cl"] / 100
+        h, w = v.shape
+        # a ring row that isn't there is the row on the other side
+        side = lambda own, n, size: (int(own.start == 0), int(own.stop >= size))
+        rows, cols = (side(o, o.start, n) for o, n in zip(p.own, (h, w), strict=True))
+        v = np.pad(v, (rows, cols), mode="reflect" if min(h, w) > 1 else "edge")
+        smooth_y = v[:-2] + 2 * v[1:-1] + v[2:]
+        smooth_x = v[:, :-2] + 2 * v[:, 1:-1] + v[:, 2:]
+        m = np.hypot(smooth_y[:, 2:] - smooth_y[:, :-2], smooth_x[2:] - smooth_x[:-2])
+        return {"strong": np.array([int((m > threshold).sum())]), "n": np.array([m.size])}
+
+    each = over_tiles(lab, ["cl"], run, "strong long, n long", reach=1)
+    return each.groupBy("image").agg((F.sum("strong") / F.sum("n")).alias("edge_density"))
 
 
 def palette_proposal(stats: DataFrame, k_min: int = 8, k_max: int = 30) -> DataFrame:
@@ -57,10 +65,10 @@ def palette_proposal(stats: DataFrame, k_min: int = 8, k_max: int = 30) -> DataF
     return stats.select("image", F.greatest(F.lit(k_min), F.least(F.lit(k_max), k)).alias("n_colors"), F.when(F.col("edge_density") > 0.25, 3).when(F.col("edge_density") < 0.05, 1).alias("smooth_passes"))
 
 
-def stride_sample(rows: DataFrame, rank: Column, total: int, sample: int) -> DataFrame:
-    """Rows 0, s, 2s, ... of rank, `sample` of them (all if there are fewer)."""
-    step = max(1, total // sample)
-    return rows.where((rank % step == 0) & (rank < step * sample))
+def stride_sample(rows: DataFrame, rank: Column, sample: int) -> DataFrame:
+    """Rows 0, s, 2s, ... of rank, `sample` of them (all if there are fewer); the count is one row, joined by the plan itself."""
+    total = rows.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / sample)).alias("_step"))
+    return rows.join(F.broadcast(total), F.lit(True)).where((rank % F.col("_step") == 0) & (rank < F.col("_step") * sample)).drop("_step")
 
 
 def nearest(vector: Column, centres: list[list[float]]) -> Column:

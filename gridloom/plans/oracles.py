@@ -89,20 +89,27 @@ SQL = {
     "modal_filter_1": f"""WITH {ORDERS}, of AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)),
       v AS (SELECT p.y, p.x, p.label, q.label AS cand, count(*) AS n FROM oc p, of JOIN oc q ON q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3, 4)
       SELECT y, x, cand AS label FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY n DESC, (cand <> label)::INT, cand) AS k FROM v) WHERE k = 1""",
-    "crack_edges": f"WITH {ORDERS} SELECT p.y, p.x, CASE WHEN q.y = p.y THEN 'r' ELSE 'd' END AS dir FROM oc p JOIN oc q ON ((q.id = p.id + 1 AND q.y = p.y) OR q.id = p.id + 150) WHERE p.label <> q.label",
-    "junctions": f"""WITH {ORDERS}, s AS (SELECT y + dy AS v, x + dx AS u, label FROM oc, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx))
-      SELECT v, u FROM s GROUP BY v, u HAVING count(DISTINCT label) + (count(*) < 4)::INT >= 3 OR count(*) = 1""",
+    "crack_edges": f"""WITH {ORDERS}, e AS (SELECT y, x, label, 'r' AS dir, 0 AS dy, 1 AS dx FROM oc UNION ALL SELECT y, x, label, 'd', 1, 0 FROM oc
+      UNION ALL SELECT y, -1, -1, 'r', 0, 1 FROM oc WHERE x = 0 UNION ALL SELECT -1, x, -1, 'd', 1, 0 FROM oc WHERE y = 0)
+      SELECT e.y, e.x, dir FROM e LEFT JOIN oc q ON q.y = e.y + dy AND q.x = e.x + dx WHERE e.label <> coalesce(q.label, -1)""",
+    "junctions": f"""WITH RECURSIVE {COMPONENTS}, h AS (SELECT max(y) AS h, max(x) AS w FROM rg), v AS (SELECT unnest(range((SELECT h + 2 FROM h)))::INT AS v), u AS (SELECT unnest(range((SELECT w + 2 FROM h)))::INT AS u),
+      s AS (SELECT v, u, coalesce(region, -1) AS region FROM v, u, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx) LEFT JOIN rg ON rg.y = v - dy AND rg.x = u - dx)
+      SELECT v, u FROM s GROUP BY v, u HAVING count(DISTINCT region) >= 3 OR count(*) FILTER (WHERE region >= 0) = 1""",
     "component_map": f"WITH RECURSIVE {COMPONENTS} SELECT y, x, region FROM rg",
     "components_count": f"WITH RECURSIVE {COMPONENTS} SELECT count(*) AS n FROM rc",
     "region_records": f"WITH RECURSIVE {COMPONENTS} SELECT * FROM rc",
     "region_edges": f"WITH RECURSIVE {COMPONENTS} SELECT * FROM re",
     "region_perimeter": f"WITH RECURSIVE {COMPONENTS} SELECT * FROM pe",
-    "boundary_identity": f"WITH RECURSIVE {COMPONENTS}, k AS (SELECT count(*) AS cracks FROM nb WHERE a <> b), t AS (SELECT sum(perimeter) AS sides, sum(border)::BIGINT AS border FROM pe) SELECT cracks, border, sides = 2 * cracks + border AS holds FROM k, t",
+    "boundary_identity": f"""WITH RECURSIVE {COMPONENTS}, t AS (SELECT sum(perimeter) AS sides, sum(border)::BIGINT AS border FROM pe),
+      k AS (SELECT (count(*) + (SELECT border FROM t))::BIGINT AS cracks FROM nb WHERE a <> b) SELECT cracks, border, sides = 2 * cracks - border AS holds FROM k, t""",
     "fill_holes": f"""WITH RECURSIVE {COMPONENTS}, h AS (SELECT region, min(near) AS near FROM sy GROUP BY region HAVING count(*) = 1),
       g AS (SELECT h.region, n.label FROM h JOIN rc USING (region) JOIN bo USING (region) JOIN rc n ON n.region = h.near WHERE border = 0 AND rc.area <= 3)
       SELECT y, x, coalesce(g.label, rg.label) AS label FROM rg LEFT JOIN g USING (region)""",
-    "area_opening_choice": f"""WITH RECURSIVE {COMPONENTS}, k AS (SELECT s.region, s.near, row_number() OVER (PARTITION BY s.region ORDER BY (n.area < 4)::INT, w DESC, n.label, s.near) AS k
-      FROM sy s JOIN rc o ON o.region = s.region JOIN rc n ON n.region = s.near WHERE o.area < 4) SELECT region, near AS "into" FROM k WHERE k = 1""",
+    "area_opening": f"""WITH RECURSIVE {COMPONENTS}, k AS (SELECT s.region, s.near, row_number() OVER (PARTITION BY s.region ORDER BY (n.area < 4)::INT, w DESC, abs(o.label - n.label), n.label, s.near) AS k
+      FROM sy s JOIN rc o ON o.region = s.region JOIN rc n ON n.region = s.near WHERE o.area < 4), one AS (SELECT region, near FROM k WHERE k = 1),
+      walk(region, pos, path) AS (SELECT region, near, [region] FROM one UNION ALL SELECT w.region, o.near, list_append(w.path, w.pos) FROM walk w JOIN one o ON o.region = w.pos WHERE NOT list_contains(w.path, w.pos)),
+      fin AS (SELECT region, pos FROM walk WHERE pos NOT IN (SELECT region FROM one))
+      SELECT y, x, coalesce(n.label, rg.label)::INT AS label FROM rg LEFT JOIN fin USING (region) LEFT JOIN rc n ON n.region = fin.pos""",
     "region_topk_area": f"WITH RECURSIVE {COMPONENTS} SELECT region, area FROM (SELECT region, area, row_number() OVER (ORDER BY area DESC, region) AS k, count(*) OVER () AS n FROM rc) WHERE k <= ceil(n * 0.5)",
     "palette_compact": f"WITH {ORDERS} SELECT label, (dense_rank() OVER (ORDER BY label) - 1)::INT AS new, count(*) AS coverage FROM oc GROUP BY label",
     "size_distribution": f"""WITH RECURSIVE {COMPONENTS} SELECT label, count(*) AS n, min(area) AS low, max(area) AS high, round(avg(area), 6) AS mean, round(stddev_pop(area), 6) AS std,

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.functions import color, layout
+from gridloom.kernels import colours
 from gridloom.operators import boundary, geometry, grid, merge, raster, stats
 from gridloom.plans import config
 from gridloom.sources import svg
@@ -109,8 +111,7 @@ def auto_tune(spark, sf_dir):
 
 
 def stride_sample(spark, sf_dir):
-    rows = _read(spark, sf_dir, "part")
-    return stats.stride_sample(rows, F.col("p_partkey"), rows.count(), 77).select("p_partkey")
+    return stats.stride_sample(_read(spark, sf_dir, "part"), F.col("p_partkey"), 77).select("p_partkey")
 
 
 def nearest_center_assign(spark, sf_dir):
@@ -128,11 +129,11 @@ def modal_filter_1(spark, sf_dir):
 
 
 def crack_edges(spark, sf_dir):
-    return grid.neighbours(_orders(spark, sf_dir), "label").where("a_label <> b_label").select("y", "x", "dir")
+    return grid.cracks(_orders(spark, sf_dir)).select("y", "x", "dir")
 
 
 def junctions(spark, sf_dir):
-    return grid.corners(_orders(spark, sf_dir)).select("v", "u")
+    return grid.corners(_regions(spark, sf_dir)).select("v", "u")
 
 
 def component_map(spark, sf_dir):
@@ -160,8 +161,8 @@ def boundary_identity(spark, sf_dir):
     c = _regions(spark, sf_dir)
     e = grid.region_edges(c)
     total = grid.perimeters(c, e).agg(F.sum("perimeter").alias("sides"), F.sum("border").alias("border"))
-    cracks = grid.neighbours(c, "label").where("a_label <> b_label").agg(F.count(F.lit(1)).alias("cracks"))
-    return total.join(F.broadcast(cracks), F.lit(True)).select("cracks", "border", (F.col("sides") == 2 * F.col("cracks") + F.col("border")).alias("holds"))
+    cracks = grid.cracks(c, "region").agg(F.count(F.lit(1)).alias("cracks"))  # one row
+    return total.join(F.broadcast(cracks), F.lit(True)).select("cracks", "border", (F.col("sides") == 2 * F.col("cracks") - F.col("border")).alias("holds"))
 
 
 def fill_holes(spark, sf_dir):
@@ -169,9 +170,11 @@ def fill_holes(spark, sf_dir):
     return grid.fill_holes(c, grid.region_edges(c), 3).drop("image")
 
 
-def area_opening_choice(spark, sf_dir):
+def area_opening(spark, sf_dir):
+    """Regions of fewer than 4 cells take a neighbour's label; differences of colour are 5 for each step between labels."""
     c = _regions(spark, sf_dir)
-    return grid.open_areas(c, grid.region_edges(c), 4).drop("image")
+    delta = spark.createDataFrame([(a, b, 5.0 * abs(a - b)) for a in range(4) for b in range(4)], "label int, cand int, de double")
+    return grid.open_areas(c, grid.region_records(c), grid.region_edges(c), 4, delta).drop("image")
 
 
 def region_topk_area(spark, sf_dir):
@@ -277,8 +280,8 @@ def preset_recommendations(spark, sf_dir):
 def merge_tiny(spark, sf_dir):
     c = _regions(spark, sf_dir)
     e = grid.region_edges(c)
-    delta = {(a, b): abs(a - b) * 5.0 for a in range(4) for b in range(4)}
-    return merge.merge_tiny(grid.region_records(c), e, grid.perimeters(c, e), delta, 6.0).drop("image")
+    lab = np.array([[20.0 * k, 0.0, 0.0] for k in range(4)])
+    return merge.merge_tiny(grid.region_records(c), e, grid.perimeters(c, e), lab, colours.table(lab), 6.0).drop("image")
 
 
 def simplify_vw(spark, sf_dir):
@@ -293,7 +296,8 @@ def arc_trace(spark, sf_dir):
 
 def arc_sides(spark, sf_dir):
     """Border length of every pair of sides, from the traced arcs."""
-    return arc_trace(spark, sf_dir).groupBy("left_region", "right_region").agg(F.sum("length").alias("w"))
+    a = arc_trace(spark, sf_dir)
+    return a.groupBy(F.least("left_region", "right_region").alias("left_region"), F.greatest("left_region", "right_region").alias("right_region")).agg(F.sum("length").alias("w"))
 
 
 def svg_fingerprint(spark, sf_dir):
@@ -347,7 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         px_srgb_to_lab, px_lab_roundtrip, delta_e76_table, delta_e00_table, palette_gate, image_stats, luminance_hist, entropy_bits,
         sobel_edge_density, auto_tune, stride_sample, nearest_center_assign, class_means_renumber, modal_filter_1, crack_edges, junctions,
-        component_map, components_count, region_records, region_edges, region_perimeter, boundary_identity, fill_holes, area_opening_choice,
+        component_map, components_count, region_records, region_edges, region_perimeter, boundary_identity, fill_holes, area_opening,
         region_topk_area, palette_compact, size_distribution, compactness, bbox_range_join, ring_shoelace, curvature_energy, bezier_flatten,
         font_fit, letterbox, legend_layout, regression_check, engine_score, preset_recommendations, merge_tiny, simplify_vw,
         arc_trace, arc_sides, svg_fingerprint, pole_of_inaccessibility, config_resolve, lloyd_step,

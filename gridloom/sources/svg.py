@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _number(c):
-    """Three decimals; minus zero is zero."""
-    return F.regexp_replace(F.format_string("%.3f", c), "^-0\\.000$", "0.000")
+from gridloom.functions import layout
 
 
 def pages(arcs: DataFrame, width: float, height: float, scale: float = 1.0) -> DataFrame:
     """(image, svg) of arcs (image, arc, vs, us): each arc once, in id order, as a path in one group."""
-    points = F.transform(F.arrays_zip("us", "vs"), lambda p: F.concat(_number(p["us"] * F.lit(float(scale))), F.lit(" "), _number(p["vs"] * F.lit(float(scale)))))
+    points = F.transform(F.arrays_zip("us", "vs"), lambda p: F.concat(layout.fixed((p["us"] * F.lit(float(scale))).cast("double")), F.lit(" "), layout.fixed((p["vs"] * F.lit(float(scale))).cast("double"))))
     path = F.concat(F.lit('<path id="arc-'), F.col("arc").cast("string"), F.lit('" d="M '), F.array_join(points, " L "), F.lit('"/>'))
     lines = arcs.select("image", "arc", path.alias("p")).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("arc", "p"))).alias("l"))
     head = f'<svg xmlns="http://www.w3.org/2000/svg" version="1.1" viewBox="0 0 {width:g} {height:g}">\n<g id="arcs" fill="none" stroke="black">\n'

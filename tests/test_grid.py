@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from gridloom.functions import color
-from gridloom.operators import boundary, geometry, grid, merge, stats
+from gridloom.kernels import curves
+from gridloom.operators import boundary, grid, merge, stats
 from gridloom.plans import config
 from gridloom.sources import images, svg
 
@@ -66,7 +67,8 @@ def test_arcs_use_each_crack_once(spark, maps):
 def test_merge_conserves_area(spark, maps):
     c = grid.components(cells(spark, {"a": maps["a"]}))
     e = grid.region_edges(c)
-    out = merge.merge_tiny(grid.region_records(c), e, grid.perimeters(c, e), {}, 5.0).collect()
+    lab = np.zeros((3, 3))
+    out = merge.merge_tiny(grid.region_records(c), e, grid.perimeters(c, e), lab, np.zeros((3, 3)), 5.0).collect()
     area = {}
     own = flood(maps["a"])
     for r in out:
@@ -123,7 +125,7 @@ def test_settings():
 
 def test_simplify_and_pole():
     line = np.array([(0, 0), (1, 0.01), (2, 0), (3, 5), (4, 0)], float)
-    assert geometry.simplify_ring_free(line, 0.5).tolist() == [0, 2, 3, 4]
+    assert curves.simplify(line, 0.5).tolist() == [0, 2, 3, 4]
     x, y, d = boundary.pole(np.array([(0, 0), (10, 0), (10, 4), (0, 4)], float), 0.1)
     assert abs(d - 2) < 0.1 and 1.5 < y < 2.5
 
