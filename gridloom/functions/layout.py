@@ -37,15 +37,17 @@ def content_box(width_mm: float, height_mm: float, margin_mm: float) -> tuple[fl
 def fixed(c: Column, decimals: int = 3) -> Column:
     """Text with fixed decimals as C prints it: by the exact binary value, ties to even; minus zero is zero. |c| < 2^52, decimals <= 3.
 
-    The fraction times 2^52 is a whole number, so all is exact in 64 bits; what lies below that only breaks ties.
+    The fraction's first 26 bits are scaled as a whole number, the rest as a double; both products are exact (but for
+    fractions below 2^-17, far from any tie), so the sign of their sum's distance from one half is too.
     """
-    ten, bit = 10**decimals, 1 << 52
+    ten, bit = 10**decimals, 1 << 26
     whole = F.floor(F.abs(c)).cast("bigint")
-    m = (F.abs(c) - whole.cast("double")) * float(bit)
-    n = F.floor(m).cast("bigint")
-    t = n * ten
-    q, r = F.shiftright(t, 52), t.bitwiseAND(F.lit(bit - 1))
-    up = (r > bit // 2) | ((r == bit // 2) & ((m != n.cast("double")) | (q % 2 == 1)))
+    f = F.abs(c) - whole.cast("double")
+    head = F.floor(f * float(bit)).cast("bigint")
+    t = head * ten
+    q = F.shiftright(t, 26)
+    off = (t.bitwiseAND(F.lit(bit - 1)) - bit // 2).cast("double") / float(bit) + (f - head.cast("double") / float(bit)) * float(ten)
+    up = (off > 0) | ((off == 0) & (q % 2 == 1))
     k = whole * ten + q + up.cast("bigint")
     digits = F.concat(F.floor(k / ten).cast("string"), F.lit("."), F.lpad((k % ten).cast("string"), decimals, "0"))
     return F.concat(F.when((c < 0) & (k > 0), "-").otherwise(""), digits)

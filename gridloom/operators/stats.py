@@ -73,8 +73,42 @@ def stride_sample(rows: DataFrame, rank: Column, sample: int) -> DataFrame:
 
 def nearest(vector: Column, centres: list[list[float]]) -> Column:
     """The index of the nearest centre (ties: the lowest), as one expression without a join."""
+    return _nearest(vector, centres)["i"]
+
+
+def _nearest(vector: Column, centres: list[list[float]]) -> Column:
     each = F.array(*[F.struct(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
-    return F.array_min(each)["i"]
+    return F.array_min(each)
+
+
+def lloyd(rows: DataFrame, vector: str, centres: list[list[float]], still: float = 0.05, rounds: int = 50) -> DataFrame:
+    """(centre, n, inertia, moved) after Lloyd's iterations: means of the nearest rows until no centre moves by `still` or more.
+
+    Each round is one aggregate of the rows; the driver holds the centres alone (their number times the dimensions). A class
+    without rows starts again at the row farthest from its centre.
+    """
+    spark = rows.sparkSession
+    moved = 0.0
+    for _ in range(rounds):
+        near = rows.select(vector, _nearest(F.col(vector), centres).alias("m"))
+        each = near.select(F.col("m.i").alias("i"), F.posexplode(vector).alias("d", "v")).groupBy("i", "d").agg(F.avg("v").alias("v"))
+        new = [list(c) for c in centres]
+        seen = set()
+        for r in each.collect():
+            new[r.i][r.d] = r.v
+            seen.add(r.i)
+        empty = [k for k in range(len(centres)) if k not in seen]
+        if empty:
+            for k, r in zip(empty, near.orderBy(F.col("m.d").desc(), vector).limit(len(empty)).collect(), strict=False):
+                new[k] = list(r[0])
+        moved = max(math.dist(a, b) for a, b in zip(centres, new, strict=True))
+        centres = new
+        if moved < still and not empty:
+            break
+    near = rows.select(_nearest(F.col(vector), centres).alias("m"))
+    sizes = near.groupBy(F.col("m.i").alias("centre")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("m.d"), 6).alias("inertia"))
+    every = spark.range(len(centres)).select(F.col("id").cast("int").alias("centre"))
+    return every.join(sizes, "centre", "left").select("centre", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("inertia", F.lit(0.0)).alias("inertia"), F.lit(moved < still).alias("settled"))
 
 
 def class_means(rows: DataFrame, label: str, columns: list[str]) -> DataFrame:

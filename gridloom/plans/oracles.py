@@ -127,16 +127,14 @@ SQL = {
       CASE WHEN p_size <= 36 THEN substr('1234567890ABCDEFGHIJKLMNOPQRSTUVWXYZ', p_size, 1) END AS code FROM part""",
     "letterbox": f"WITH {PART} SELECT y, x, round(36 + 2 * x * 5.4, 6) AS pt_x, round(36 + (720 - 540) / 2.0 + 2 * y * 5.4, 6) AS pt_y FROM px",
     "legend_layout": f"WITH {PALETTE} SELECT idx, ((idx % 3) * 94 + 64)::DOUBLE AS chip_x, ((idx // 3) * 30)::DOUBLE AS chip_y, substr('1234567890ABCDEFGHIJKLMNOPQRSTUVWXYZ', idx + 1, 1) AS code FROM pal",
-    "regression_check": """WITH n AS (SELECT o_orderstatus, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1), b AS (SELECT o_orderstatus, round(avg(o_totalprice), 6) AS base FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)
+    "regression_check": """WITH n AS (SELECT o_orderstatus, round(avg(o_totalprice), 6) AS value FROM orders WHERE year(o_orderdate) >= 1995 GROUP BY 1), b AS (SELECT o_orderstatus, round(avg(o_totalprice), 6) AS base FROM orders WHERE year(o_orderdate) < 1995 GROUP BY 1)
       SELECT o_orderstatus, value, CASE WHEN o_orderstatus = 'F' THEN value BETWEEN 1000 AND 250000 WHEN base IS NULL THEN true WHEN base = 0 THEN abs(value) <= 0.001 ELSE abs((value - base) / base) <= 0.001 END AS passed FROM n LEFT JOIN b USING (o_orderstatus)""",
     "engine_score": f"""SELECT p_partkey, round(100 * exp(sum(weight * ln(greatest(1e-12, least(1.0, (p_size + len(p_name)) / 100.0::DOUBLE + len(name) / 50.0::DOUBLE))))), 6) AS score FROM part, {_WEIGHTS} GROUP BY p_partkey""",
-    "preset_recommendations": """WITH m AS (SELECT c_mktsegment, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
-      w AS (SELECT *, lag(n) OVER (PARTITION BY c_mktsegment ORDER BY month) AS was FROM m) SELECT *, CASE WHEN n >= 1.3 * was THEN 'more' ELSE 'fewer' END AS advice FROM w WHERE n >= 1.3 * was OR was >= 1.3 * n""",
     "arc_sides": f"WITH RECURSIVE {COMPONENTS}, o AS (SELECT -1 AS left_region, region AS right_region, border AS w FROM bo WHERE border > 0) SELECT * FROM o UNION ALL SELECT a, b, w FROM re",
     "config_resolve": "SELECT * FROM (VALUES ('easy', 5.0::DOUBLE, 8, 100000, 64), ('medium', 3.5, 16, 100000, 64), ('hard', 2.5, 24, 100000, 64), ('dense', 1.5, 17, 100000, 64), ('partial', 1.5, 17, 100000, 64)) t(preset, d_min_mm, n_colors, sample_px, hash_length)",
     "lloyd_step": """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
       d AS (SELECT vec_id, k, sum(pow(v - (i = k)::INT, 2)) AS d FROM e, range(8) r(k) GROUP BY 1, 2), c AS (SELECT vec_id, arg_min(k, (d, k))::INT AS centre FROM d GROUP BY 1)
-      SELECT centre, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS m0, round(avg(embedding[2]::DOUBLE), 6) AS m1, round(avg(embedding[3]::DOUBLE), 6) AS m2, round(avg(embedding[4]::DOUBLE), 6) AS m3 FROM c JOIN embeddings USING (vec_id) GROUP BY centre""",
+      SELECT centre, i::INT AS dim, count(*) AS n, round(avg(v), 6) AS mean FROM c JOIN e USING (vec_id) GROUP BY 1, 2""",
     "distance_transform": f"""WITH {PART}, f AS (SELECT y AS near_y, x AS near_x FROM px WHERE label = 0),
       d AS (SELECT id, y, x, near_y, near_x, (y - near_y) * (y - near_y) + (x - near_x) * (x - near_x) AS d2 FROM px, f)
       SELECT y, x, round(sqrt(d2), 6) AS d, near_y, near_x FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, near_y, near_x) = 1""",

@@ -252,10 +252,10 @@ def legend_layout(spark, sf_dir):
 
 
 def regression_check(spark, sf_dir):
-    """Order totals by status against those of the customer's segment: gates for status F, monitors for the others."""
-    o = _read(spark, sf_dir, "orders")
-    now = o.groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 6).alias("value")).withColumn("lo", F.lit(1000.0)).withColumn("hi", F.lit(250000.0)).withColumn("gate", F.col("o_orderstatus") == "F")
-    base = o.where("o_orderkey % 2 = 0").groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 6).alias("base")).withColumn("tolerance", F.lit(0.001))
+    """Order totals since 1995 by status against those of the years before: a gate for status F, monitors for the others."""
+    o = _read(spark, sf_dir, "orders").withColumn("late", F.year("o_orderdate") >= 1995)
+    now = o.where("late").groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 6).alias("value")).withColumn("lo", F.lit(1000.0)).withColumn("hi", F.lit(250000.0)).withColumn("gate", F.col("o_orderstatus") == "F")
+    base = o.where("not late").groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 6).alias("base")).withColumn("tolerance", F.lit(0.001))
     return stats.regressions(now, base, ["o_orderstatus"])
 
 
@@ -268,15 +268,6 @@ def engine_score(spark, sf_dir):
     return stats.engine_score(d.select("p_partkey", "name", (F.col("v") + F.length("name") / 50).alias("value")), "p_partkey", SCORE_WEIGHTS)
 
 
-def preset_recommendations(spark, sf_dir):
-    """Neighbouring months of a segment: where the order count moves by 1.3 times or more."""
-    o = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
-    m = o.groupBy("c_mktsegment", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    w = m.withColumn("was", F.lag("n").over(W.partitionBy("c_mktsegment").orderBy("month")))
-    rule = F.when(F.col("n") >= 1.3 * F.col("was"), "more").when(F.col("was") >= 1.3 * F.col("n"), "fewer")
-    return w.withColumn("advice", rule).where("advice is not null")
-
-
 def merge_tiny(spark, sf_dir):
     c = _regions(spark, sf_dir)
     e = grid.region_edges(c)
@@ -320,9 +311,11 @@ def config_resolve(spark, sf_dir):
 
 
 def lloyd_step(spark, sf_dir):
-    """One step of k-means over vectors: nearest of 8 fixed centres, then the classes' sizes and first means."""
-    rows = nearest_center_assign(spark, sf_dir).join(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    return rows.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col("embedding")[i].cast("double")), 6).alias(f"m{i}") for i in range(4)])
+    """One step of k-means over vectors: nearest of 8 fixed centres, then the means of all dimensions of each class."""
+    centres = [[1.0 if i == k else 0.0 for i in range(64)] for k in range(8)]
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = _read(spark, sf_dir, "embeddings").select(stats.nearest(v, centres).alias("centre"), "embedding").select("centre", F.posexplode("embedding").alias("dim", "v"))
+    return rows.groupBy("centre", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
 def distance_transform(spark, sf_dir):
@@ -353,7 +346,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sobel_edge_density, auto_tune, stride_sample, nearest_center_assign, class_means_renumber, modal_filter_1, crack_edges, junctions,
         component_map, components_count, region_records, region_edges, region_perimeter, boundary_identity, fill_holes, area_opening,
         region_topk_area, palette_compact, size_distribution, compactness, bbox_range_join, ring_shoelace, curvature_energy, bezier_flatten,
-        font_fit, letterbox, legend_layout, regression_check, engine_score, preset_recommendations, merge_tiny, simplify_vw,
+        font_fit, letterbox, legend_layout, regression_check, engine_score, merge_tiny, simplify_vw,
         arc_trace, arc_sides, svg_fingerprint, pole_of_inaccessibility, config_resolve, lloyd_step,
         distance_transform, dilate_mask, resize_area, ssim,
     )

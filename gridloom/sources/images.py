@@ -223,7 +223,7 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.{png,bmp,pgm,ppm}") -> DataFrame:
-    """(image, content, source_hash) of files below path; an empty one gets its finding from the decoder."""
+    """(image, content, source_hash) of files below path. Spark's reader never lists empty files; empty content from elsewhere gets its finding from the decoder."""
     return _named(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
 
 
