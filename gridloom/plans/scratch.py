@@ -8,8 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Characters of each plan's text that the driver keeps, where the session has Spark's default (no bound): loops run hundreds of jobs.
+PLAN_TEXT = 4096
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; local sessions without one get a temporary folder."""
+    if int(spark.conf.get("spark.sql.maxPlanStringLength", "0")) > 1 << 30:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     got = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not got:
         if not spark.sparkContext.master.split("[")[0] == "local":
