@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import tokens
-from gridloom.llm.common import distinct_labels, fold, map_text, only
+from gridloom.llm.common import distinct_labels, fold, list_array, map_text, only
 
 POSITIVES, NEGATIVES, FEATURES, SPACE, SPARSE, FOLDS = 4000, 8000, 512, 1 << 20, 120, 3
 RIDGE, FAIRNESS = 0.1, 10.0
@@ -121,22 +121,28 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_place"}
 
 
-def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE, fairness: float = FAIRNESS) -> tuple[np.ndarray, float]:
-    """Newton steps on logistic loss + ridge/2 |w|^2 + fairness/2 |change w|^2; a row of change is x less its swapped form."""
-    n, k = x.shape
+def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE, fairness: float = FAIRNESS, rows=None, changes=None, use=None) -> tuple[np.ndarray, float]:
+    """Newton steps on logistic loss + ridge/2 |w|^2 + fairness/2 |change w|^2; a row of change is x less its swapped form.
+
+    rows, changes and use: the rows of x and of change, and the columns, that count (all by default); they are read in blocks.
+    """
+    rows = np.arange(len(x)) if rows is None else rows
+    changes = np.arange(len(change)) if changes is None else changes
+    use = np.arange(x.shape[1]) if use is None else use
+    n, k = len(rows), len(use)
     penalty = np.zeros((k + 1, k + 1))
     penalty[:k, :k] = ridge * np.eye(k)
-    for at in range(0, len(change), 1024):
-        c = change[at : at + 1024].astype(np.float32)
+    for at in range(0, len(changes), 1024):
+        c = change[np.ix_(changes[at : at + 1024], use)].astype(np.float32)
         penalty[:k, :k] += fairness * (c.T @ c)
     beta = np.zeros(k + 1)
     for _ in range(30):
         grad, hess = penalty @ beta, penalty + 1e-6 * np.eye(k + 1)
         for at in range(0, n, 1024):  # blocks of rows: the matrix stays in bytes
             block = np.ones((min(1024, n - at), k + 1), np.float32)
-            block[:, :k] = x[at : at + 1024]
+            block[:, :k] = x[np.ix_(rows[at : at + 1024], use)]
             p = 1 / (1 + np.exp(-np.clip(block @ beta.astype(np.float32), -40, 40)))
-            grad += block.T @ (p - y[at : at + 1024]).astype(np.float32)
+            grad += block.T @ (p - y[rows[at : at + 1024]]).astype(np.float32)
             hess += (block * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ block
         step = np.linalg.solve(hess, grad)
         beta -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
@@ -216,43 +222,58 @@ def train(docs: DataFrame, known: DataFrame, positives: int = POSITIVES, negativ
     wanted = np.zeros(2 * SPACE, bool)
     wanted[ids] = True
 
+    place = np.full(2 * SPACE, -1, np.int32)
+    place[ids] = np.arange(len(ids))
+
     def vectors(keys, texts):
+        """f: a text's features; c, d: for every swapped form (numbered by c) the features that it gains (d) or loses (-1 - d)."""
         text, f = parts(texts, wanted)
-        cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-        turned = [swaps(t, groups) for t in texts]
-        flat = [s for v in turned for s in v]
-        text2, f2 = parts(flat, wanted) if flat else (np.zeros(0, np.int64),) * 2
-        cuts2, at = np.searchsorted(text2, np.arange(len(flat) + 1)), 0
-        out = {"doc_id": keys["doc_id"], "y": keys["y"], "g": keys["g"], "f": [f[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "s": []}
-        for v in turned:
-            out["s"].append([f2[cuts2[k] : cuts2[k + 1]].tolist() for k in range(at, at + len(v))])
-            at += len(v)
-        return out
-
-    kind = dict(docs.dtypes)["doc_id"]
-    got = map_text(rows, ["doc_id", "y", "g", "text"], vectors, f"doc_id {kind}, y int, g int, f array<long>, s array<array<long>>").toPandas()
-    got = got.sort_values("doc_id", kind="stable")
-    place = {f: i for i, f in enumerate(ids.tolist())}
-
-    def binary(lists) -> np.ndarray:
-        out = np.zeros((len(lists), len(ids)), np.int8)
-        for i, fs in enumerate(lists):
-            out[i, [place[f] for f in fs]] = 1
-        return out
-
-    x, y, g = binary(got["f"].tolist()), got["y"].to_numpy(float), got["g"].to_numpy()
-    owner = np.array([i for i, s in enumerate(got["s"]) for _ in s], np.int64)
-    change = x[owner] - binary([v for s in got["s"] for v in s])
+        turned = [(i, s) for i, t in enumerate(texts) for s in swaps(t, groups)]
+        owner = np.array([i for i, _ in turned], np.int64)
+        text2, f2 = parts([s for _, s in turned], wanted) if turned else (np.zeros(0, np.int64),) * 2
+        f, f2 = place[f], place[f2]
+        # sets of (form, feature) before and after, as numbers
+        size, n = np.bincount(text, minlength=len(texts)), len(ids)
+        begin = np.cumsum(size) - size
+        old = np.concatenate([k * n + f[begin[i] : begin[i] + size[i]] for k, i in enumerate(owner.tolist())] or [np.zeros(0, np.int64)]).astype(np.int64)
+        new = text2 * n + f2
+        gain, lose = np.setdiff1d(new, old, assume_unique=True), np.setdiff1d(old, new, assume_unique=True)
+        form = np.concatenate((gain // n, lose // n)) if n else np.zeros(0, np.int64)
+        sign = np.concatenate((gain % n, -1 - lose % n)) if n else np.zeros(0, np.int64)
+        doc = owner[form]
+        order = np.argsort(doc, kind="stable")
+        changes = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
+        return {
+            "y": keys["y"], "g": keys["g"], "h": keys["h"], "f": list_array(f, size, pa.int32()),
+            "c": list_array(form[order].astype(np.int32), changes, pa.int32()), "d": list_array(sign[order].astype(np.int32), changes, pa.int32()),
+        }
+
+    # as Arrow and in a fixed order; the driver holds flat arrays of at most the sample's documents
+    keyed = rows.withColumn("h", F.xxhash64("doc_id", F.lit(12)))
+    got = map_text(keyed, ["y", "g", "h", "text"], vectors, "y int, g int, h long, f array<int>, c array<int>, d array<int>").toArrow().sort_by("h").combine_chunks()
+    flat = {c: (got[c].chunk(0) if got[c].num_chunks else pa.array([], got[c].type)) for c in got.column_names}
+    y, g = flat["y"].to_numpy().astype(float), flat["g"].to_numpy()
+    sizes = lambda c: flat[c].value_lengths().to_numpy(zero_copy_only=False)
+    x = np.zeros((len(y), len(ids)), np.int8)
+    x[np.repeat(np.arange(len(y)), sizes("f")), flat["f"].flatten().to_numpy()] = 1
+    doc, form, d = np.repeat(np.arange(len(y)), sizes("c")), flat["c"].flatten().to_numpy(), flat["d"].flatten().to_numpy()
+    _, row = np.unique(doc.astype(np.int64) << 32 | form, return_inverse=True)
+    owner = np.zeros(row.max(initial=-1) + 1, np.int64)
+    owner[row] = doc
+    change = np.zeros((len(owner), len(ids)), np.int8)  # the text less its swapped form
+    change[row, np.where(d < 0, -1 - d, d)] = np.where(d < 0, 1, -1)
+    del got, flat, doc, form, d, row
     model = Model(ids, np.zeros((1 + FOLDS, len(ids))), np.zeros(1 + FOLDS))
     z = np.zeros(len(y))
     for i in range(1 + FOLDS):
-        rest = g != i - 1
-        if rest.sum() and 0 < y[rest].sum() < rest.sum():
+        rest, left = np.flatnonzero(g != i - 1), np.flatnonzero(g == i - 1)
+        if len(rest) and 0 < y[rest].sum() < len(rest):
             use = np.flatnonzero(np.isin(ids, np.concatenate((best[i], marks))))
-            w, b = fit(x[rest][:, use], y[rest], change[rest[owner]][:, use], ridge, fairness)
+            w, b = fit(x, y, change, ridge, fairness, rest, np.flatnonzero(g[owner] != i - 1), use)
             model.weights[i, use], model.bias[i] = w, b
-            if i:
-                z[~rest] = x[~rest].astype(np.float64) @ model.weights[i] + b
+            for at in range(0, len(left) if i else 0, 1024):
+                part = left[at : at + 1024]
+                z[part] = x[part].astype(np.float32) @ model.weights[i].astype(np.float32) + b
     if len(set(g.tolist())) > 1:
         model.slope, model.shift = calibrate(z, y)
     return model
