@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gridloom.kernels import cracks
+from gridloom.kernels import cracks, place
 from gridloom.plans.shipping import ship
 
 #: Cells of the largest image that one task traces (about 2 GB there); larger ones raise.
@@ -74,52 +72,19 @@ def topology_proof(cells: DataFrame) -> DataFrame:
     return cells.select("image", "y", "x", "region").groupBy("image").applyInArrow(run, "image string, twice int, missing int, wrong_sides int, euler int")
 
 
-def signed_distance(x: float, y: float, ring: np.ndarray) -> float:
-    """Distance from the ring's border, positive inside (even-odd)."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    d = b - a
-    t = np.clip(((x - a[:, 0]) * d[:, 0] + (y - a[:, 1]) * d[:, 1]) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
-    near = np.hypot(a[:, 0] + t * d[:, 0] - x, a[:, 1] + t * d[:, 1] - y).min()
-    over = (a[:, 1] > y) != (b[:, 1] > y)
-    hits = x < a[:, 0] + (y - a[:, 1]) * d[:, 0] / np.where(d[:, 1] == 0, 1, d[:, 1])
-    return float(near if (over & hits).sum() % 2 else -near)
-
-
-def pole(ring: np.ndarray, precision: float = 0.5) -> tuple[float, float, float]:
-    """(x, y, clearance) of the largest empty circle inside a ring, to the precision: best-first over quartered squares."""
-    low, high = ring.min(0), ring.max(0)
-    half = max(1e-9, min(high - low) / 2)
-    queue: list[tuple[float, float, float, float, float]] = []
-
-    def push(x: float, y: float, h: float) -> None:
-        d = signed_distance(x, y, ring)
-        heapq.heappush(queue, (-(d + h * math.sqrt(2)), x, y, h, d))
-
-    for x in np.arange(low[0], high[0] + half, 2 * half):
-        for y in np.arange(low[1], high[1] + half, 2 * half):
-            push(x + half, y + half, half)
-    cx, cy = ring.mean(0)
-    best = (float(cx), float(cy), signed_distance(cx, cy, ring))
-    while queue:
-        bound, x, y, h, d = heapq.heappop(queue)
-        if d > best[2]:
-            best = (float(x), float(y), d)
-        if -bound - best[2] <= precision:
-            break
-        for sx in (-h / 2, h / 2):
-            for sy in (-h / 2, h / 2):
-                push(x + sx, y + sy, h / 2)
-    return best
-
-
 def poles(rings: DataFrame, key: str, precision: float = 0.5) -> DataFrame:
-    """(key, x, y, clearance) of rings given as (key, xs, ys); each ring on its own, without a shuffle."""
+    """(key, x, y, clearance): the largest empty circle of rings given as (key, xs, ys); each ring on its own, without a shuffle."""
     ship(rings.sparkSession)
     kind = dict(rings.dtypes)[key]
 
     def run(batches):
         for b in batches:
-            got = [pole(np.column_stack((x, y)).astype(float), precision) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[i] for g in got], pa.float64()) for i in range(3)]], [key, "x", "y", "clearance"])
-
-    return rings.select(key, "xs", "ys").mapInArrow(run, f"{key} {kind}, x double, y double, clearance double")
+            xs, ys = b.column(1), b.column(2)
+            size = xs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = np.column_stack((xs.flatten().to_numpy(), ys.flatten().to_numpy()))
+            begin = np.cumsum(size) - size
+            got = [place.pole(place.Rings([flat[i : i + n]]), precision) if n > 2 else (np.full(2, np.nan), np.nan) for i, n in zip(begin.tolist(), size.tolist(), strict=True)]
+            columns = [[g[0][0] for g in got], [g[0][1] for g in got], [g[1] for g in got]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64(), from_pandas=True) for c in columns]], [key, "x", "y", "clearance"])
+
+    return rings.select(key, F.col("xs").cast("array<double>"), F.col("ys").cast("array<double>")).mapInArrow(run, f"{key} {kind}, x double, y double, clearance double")

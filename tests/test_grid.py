@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from gridloom.functions import color
-from gridloom.kernels import curves
+from gridloom.kernels import curves, place
 from gridloom.operators import boundary, grid, merge, stats
 from gridloom.plans import config
 from gridloom.sources import images, svg
@@ -126,7 +126,7 @@ def test_settings():
 def test_simplify_and_pole():
     line = np.array([(0, 0), (1, 0.01), (2, 0), (3, 5), (4, 0)], float)
     assert curves.simplify(line, 0.5).tolist() == [0, 2, 3, 4]
-    x, y, d = boundary.pole(np.array([(0, 0), (10, 0), (10, 4), (0, 4)], float), 0.1)
+    (x, y), d = place.pole(place.Rings([np.array([(0, 0), (10, 0), (10, 4), (0, 4)], float)]), 0.1)
     assert abs(d - 2) < 0.1 and 1.5 < y < 2.5
 
 
