@@ -125,7 +125,7 @@ SQL = {
       SELECT id, k::INT AS k, round(pow(1-t,3)*x0 + 3*(1-t)*(1-t)*t*xb + 3*(1-t)*t*t*xc + t*t*t*x1, 6) AS x, round(pow(1-t,3)*y0 + 3*(1-t)*(1-t)*t*yb + 3*(1-t)*t*t*yc + t*t*t*y1, 6) AS y FROM s""",
     "font_fit": """SELECT p_partkey, round(2 * greatest(p_size / 2.0::DOUBLE - 0.8, 0) / sqrt(pow(len(p_size::VARCHAR) * 0.636, 2) + 0.729 * 0.729), 6) AS font,
       CASE WHEN p_size <= 36 THEN substr('1234567890ABCDEFGHIJKLMNOPQRSTUVWXYZ', p_size, 1) END AS code FROM part""",
-    "letterbox": f"WITH {PART} SELECT y, x, round(36 + 2 * x * 5.4, 6) AS pt_x, round(36 + (720 - 540) / 2.0 + 2 * y * 5.4, 6) AS pt_y FROM px",
+    "letterbox": f"WITH {PART} SELECT y, x, round(36 + 2 * x * 5.4::DOUBLE, 6) AS pt_x, round(36 + (720 - 540) / 2.0::DOUBLE + 2 * y * 5.4::DOUBLE, 6) AS pt_y FROM px",
     "legend_layout": f"WITH {PALETTE} SELECT idx, ((idx % 3) * 94 + 64)::DOUBLE AS chip_x, ((idx // 3) * 30)::DOUBLE AS chip_y, substr('1234567890ABCDEFGHIJKLMNOPQRSTUVWXYZ', idx + 1, 1) AS code FROM pal",
     "regression_check": """WITH n AS (SELECT o_orderstatus, round(avg(o_totalprice), 6) AS value FROM orders WHERE year(o_orderdate) >= 1995 GROUP BY 1), b AS (SELECT o_orderstatus, round(avg(o_totalprice), 6) AS base FROM orders WHERE year(o_orderdate) < 1995 GROUP BY 1)
       SELECT o_orderstatus, value, CASE WHEN o_orderstatus = 'F' THEN value BETWEEN 1000 AND 250000 WHEN base IS NULL THEN true WHEN base = 0 THEN abs(value) <= 0.001 ELSE abs((value - base) / base) <= 0.001 END AS passed FROM n LEFT JOIN b USING (o_orderstatus)""",
