@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,18 +52,49 @@ def proper_crossing(a, b, c, d, guard: float = 1e-9) -> Column:
     return F.coalesce((F.abs(det) > guard) & inside(t) & inside(u), F.lit(False))
 
 
-def box_overlaps(boxes: DataFrame, cell: float, keys: list[str]) -> DataFrame:
-    """(keys, a, b): pairs a < b of boxes (keys, id, x0, y0, x1, y1) that overlap (touching counts).
+#: Ids of equal boxes that one row holds.
+BLOCK = 256
+_BOX = ("x0", "y0", "x1", "y1")
 
-    Boxes are dealt to the grid cells they cover; a pair is reported by the one cell that holds its overlap's least corner,
-    so no distinct is needed.
-    """
+
+def _dealt(boxes: DataFrame, cell: float) -> DataFrame:
+    """Each box once for every grid cell (gx, gy) that it covers."""
     at = lambda c: F.floor(F.col(c) / cell)
-    spread = boxes.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
-    side = lambda s: spread.select(*keys, "gx", "gy", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
-    j = side("a").join(side("b"), [*keys, "gx", "gy"]).where("a_id < b_id and a_x0 <= b_x1 and b_x0 <= a_x1 and a_y0 <= b_y1 and b_y0 <= a_y1")
+    return boxes.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
+
+
+def box_blocks(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, values, block, ids): boxes that are equal in all columns but id, up to BLOCK ascending ids a row. Boxes with nulls meet nothing and go."""
+    values = [c for c in boxes.columns if c not in (*keys, "id")]
+    place = F.row_number().over(W.partitionBy(*keys, *values).orderBy("id"))
+    numbered = boxes.dropna(subset=[*keys, "id", *_BOX]).withColumn("block", F.floor((place - 1) / BLOCK))
+    return numbered.groupBy(*keys, *values, "block").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def box_overlaps(boxes: DataFrame, cell: float, keys: list[str], holds: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """(keys, a, b): pairs a < b of boxes (keys, id, x0, y0, x1, y1, further values) that overlap (touching counts).
+
+    holds(s, t) is a further condition on a pair's values: those of the smaller id are the columns with prefix s_, those of
+    the larger one with prefix t_.
+
+    Equal boxes go as blocks of ids. Blocks are dealt to the grid cells they cover; two blocks meet in the one cell that
+    holds their overlap's least corner, so no distinct is needed. Pairs of blocks are dealt anew before they become pairs of
+    ids, so boxes that lie in one place are no single task.
+    """
+    spark = boxes.sparkSession
+    blocks = box_blocks(boxes, keys)
+    values = [c for c in blocks.columns if c not in (*keys, "ids")]
+    spread = _dealt(blocks, cell)
+    side = lambda s: spread.select(*keys, "gx", "gy", *[F.col(c).alias(f"{s}_{c}") for c in (*values, "ids")])
+    order = lambda s: F.struct(*[F.col(f"{s}_{c}") for c in values])
     own = (F.col("gx") == F.floor(F.greatest("a_x0", "b_x0") / cell)) & (F.col("gy") == F.floor(F.greatest("a_y0", "b_y0") / cell))
-    return j.where(own).select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    met = side("a").join(side("b"), [*keys, "gx", "gy"]).where(order("a") <= order("b")).where("a_x0 <= b_x1 and b_x0 <= a_x1 and a_y0 <= b_y1 and b_y0 <= a_y1").where(own)
+    up, down = (holds("a", "b"), holds("b", "a")) if holds else (F.lit(True), F.lit(True))
+    met = met.select(*keys, "a_ids", "b_ids", (order("a") == order("b")).alias("same"), up.alias("up"), down.alias("down")).where("up or down")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    met = met.repartition(tasks, F.col("a_ids")[0], F.col("b_ids")[0], F.size("a_ids"), F.size("b_ids"))
+    pairs = met.select(*keys, F.explode("a_ids").alias("i"), "b_ids", "same", "up", "down").select(*keys, "i", F.explode("b_ids").alias("j"), "same", "up", "down")
+    return pairs.where("(i < j and up) or (i > j and down and not same)").select(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
 def simplify(polylines: DataFrame, key: str, tolerance: float, closed: bool = False) -> DataFrame:
