@@ -97,6 +97,20 @@ def box_overlaps(boxes: DataFrame, cell: float, keys: list[str], holds: Callable
     return pairs.where("(i < j and up) or (i > j and down and not same)").select(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
+def overlapping(boxes: DataFrame, cell: float, keys: list[str]) -> DataFrame:
+    """(keys, id): the ids whose boxes (keys, id, x0, y0, x1, y1) overlap the inside of a box of another id; each once.
+
+    Only different boxes meet, with their least and largest id: a box overlaps another id's if either is not its own.
+    """
+    box = [*keys, *_BOX]
+    ids = boxes.dropna(subset=[*box, "id"]).select(*box, "id")
+    spread = _dealt(ids.groupBy(*box).agg(F.min("id").alias("low"), F.max("id").alias("high")), cell)
+    a = spread.select(*keys, "gx", "gy", *_BOX)
+    b = spread.select(*keys, "gx", "gy", *[F.col(c).alias(f"b_{c}") for c in (*_BOX, "low", "high")])
+    met = a.join(b, [*keys, "gx", "gy"]).where("x0 < b_x1 and b_x0 < x1 and y0 < b_y1 and b_y0 < y1").groupBy(*box).agg(F.min("b_low").alias("low"), F.max("b_high").alias("high"))
+    return ids.join(met, box).where("low < id or id < high").select(*keys, "id").distinct()
+
+
 def simplify(polylines: DataFrame, key: str, tolerance: float, closed: bool = False) -> DataFrame:
     """(key, xs, ys) with simplified coordinate arrays; each polyline (or ring) on its own, in Arrow batches without a shuffle."""
     ship(polylines.sparkSession)

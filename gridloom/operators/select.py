@@ -106,7 +106,7 @@ def inside_rings(points: DataFrame, segments: DataFrame, keys: list[str]) -> Dat
     return points.join(segments, keys).groupBy(*keys, "id").agg((F.sum(F.coalesce(hit, F.lit(False)).cast("int")) % 2 == 1).alias("inside"))
 
 
-def overlap_rate(pairs: DataFrame, n: DataFrame) -> DataFrame:
-    """(image, rate): percentage of rectangles that take part in any pair (image, a, b); n: (image, n)."""
-    met = pairs.select("image", F.col("a").alias("id")).union(pairs.select("image", "b")).distinct().groupBy("image").agg(F.count(F.lit(1)).alias("met"))
+def overlap_rate(met: DataFrame, n: DataFrame) -> DataFrame:
+    """(image, rate): percentage of rectangles that overlap another one (image, id, each once); n: (image, n)."""
+    met = met.groupBy("image").agg(F.count(F.lit(1)).alias("met"))
     return n.join(met, "image", "left").select("image", (100.0 * F.coalesce("met", F.lit(0)) / F.col("n")).alias("rate"))

@@ -214,10 +214,7 @@ def label_fit_rate(spark, sf_dir):
 def rect_overlap_rate(spark, sf_dir):
     """Rectangles that overlap another one; touching is none."""
     b = _boxes(spark, sf_dir).select("image", "id", F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"), (F.col("x1") + 0.5).alias("x1"), (F.col("y1") + 0.5).alias("y1"))
-    met = geometry.box_overlaps(b, 16, ["image"])
-    side = lambda s: b.select("image", F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("x0", "y0", "x1", "y1")])
-    open_ = met.join(side("a"), ["image", "a"]).join(side("b"), ["image", "b"]).where("a_x0 < b_x1 and b_x0 < a_x1 and a_y0 < b_y1 and b_y0 < a_y1")
-    return _r6(select.overlap_rate(open_.select("image", "a", "b"), b.groupBy("image").agg(F.count(F.lit(1)).alias("n"))).drop("image"), "rate")
+    return _r6(select.overlap_rate(geometry.overlapping(b, 16, ["image"]), b.groupBy("image").agg(F.count(F.lit(1)).alias("n"))).drop("image"), "rate")
 
 
 def segment_crossings(spark, sf_dir):
