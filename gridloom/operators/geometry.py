@@ -77,24 +77,21 @@ def box_overlaps(boxes: DataFrame, cell: float, keys: list[str], holds: Callable
     holds(s, t) is a further condition on a pair's values: those of the smaller id are the columns with prefix s_, those of
     the larger one with prefix t_.
 
-    Equal boxes go as blocks of ids. Blocks are dealt to the grid cells they cover; two blocks meet in the one cell that
-    holds their overlap's least corner, so no distinct is needed. Pairs of blocks are dealt anew before they become pairs of
-    ids, so boxes that lie in one place are no single task.
+    Equal boxes go as blocks of ids. Blocks are dealt to the grid cells they cover; two blocks meet, each as the one of the
+    smaller id, in the one cell that holds their overlap's least corner, so no distinct is needed. Pairs of blocks are dealt
+    anew before they become pairs of ids, so boxes that lie in one place are no single task.
     """
     spark = boxes.sparkSession
     blocks = box_blocks(boxes, keys)
     values = [c for c in blocks.columns if c not in (*keys, "ids")]
     spread = _dealt(blocks, cell)
     side = lambda s: spread.select(*keys, "gx", "gy", *[F.col(c).alias(f"{s}_{c}") for c in (*values, "ids")])
-    order = lambda s: F.struct(*[F.col(f"{s}_{c}") for c in values])
     own = (F.col("gx") == F.floor(F.greatest("a_x0", "b_x0") / cell)) & (F.col("gy") == F.floor(F.greatest("a_y0", "b_y0") / cell))
-    met = side("a").join(side("b"), [*keys, "gx", "gy"]).where(order("a") <= order("b")).where("a_x0 <= b_x1 and b_x0 <= a_x1 and a_y0 <= b_y1 and b_y0 <= a_y1").where(own)
-    up, down = (holds("a", "b"), holds("b", "a")) if holds else (F.lit(True), F.lit(True))
-    met = met.select(*keys, "a_ids", "b_ids", (order("a") == order("b")).alias("same"), up.alias("up"), down.alias("down")).where("up or down")
+    met = side("a").join(side("b"), [*keys, "gx", "gy"]).where("a_x0 <= b_x1 and b_x0 <= a_x1 and a_y0 <= b_y1 and b_y0 <= a_y1").where(own)
+    met = met.where("a_ids[0] < b_ids[size(b_ids) - 1]").where(holds("a", "b") if holds else F.lit(True)).select(*keys, "a_ids", "b_ids")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     met = met.repartition(tasks, F.col("a_ids")[0], F.col("b_ids")[0], F.size("a_ids"), F.size("b_ids"))
-    pairs = met.select(*keys, F.explode("a_ids").alias("i"), "b_ids", "same", "up", "down").select(*keys, "i", F.explode("b_ids").alias("j"), "same", "up", "down")
-    return pairs.where("(i < j and up) or (i > j and down and not same)").select(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    return met.select(*keys, F.explode("a_ids").alias("a"), "b_ids").select(*keys, "a", F.explode("b_ids").alias("b")).where("a < b")
 
 
 def overlapping(boxes: DataFrame, cell: float, keys: list[str]) -> DataFrame:

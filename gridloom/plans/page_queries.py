@@ -218,13 +218,12 @@ def rect_overlap_rate(spark, sf_dir):
 
 
 def segment_crossings(spark, sf_dir):
-    """Pairs of diagonals that cross inside both; boxes that meet are the candidates."""
-    b = _boxes(spark, sf_dir)
-    met = geometry.box_overlaps(b, 16, ["image"])
-    side = lambda s, flip: b.select("image", F.col("id").alias(s), F.col("x0").alias(f"{s}x0"), F.col("y1" if flip else "y0").alias(f"{s}y0"), F.col("x1").alias(f"{s}x1"), F.col("y0" if flip else "y1").alias(f"{s}y1"))
-    j = met.join(side("a", False), ["image", "a"]).join(side("b", True), ["image", "b"])
-    point = lambda s, k: (F.col(f"{s}x{k}").cast("double"), F.col(f"{s}y{k}").cast("double"))
-    return j.where(geometry.proper_crossing(point("a", 0), point("a", 1), point("b", 0), point("b", 1))).select("a", "b")
+    """Pairs of diagonals that cross inside both; boxes that meet are the candidates. The smaller id's diagonal runs from (x0, y0), the other's from (x0, y1)."""
+    ends = [F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1")]
+    b = _boxes(spark, sf_dir).select("image", "id", *[f(f"{c}0", f"{c}1").alias(f"{c}{k}") for k, f in enumerate((F.least, F.greatest)) for c in "xy"], *ends)
+    point = lambda s, x, y: (F.col(f"{s}_ex{x}").cast("double"), F.col(f"{s}_ey{y}").cast("double"))
+    cross = lambda s, t: geometry.proper_crossing(point(s, 0, 0), point(s, 1, 1), point(t, 0, 1), point(t, 1, 0))
+    return geometry.box_overlaps(b, 16, ["image"], cross).select("a", "b")
 
 
 # --- many images

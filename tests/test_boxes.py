@@ -2,10 +2,11 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gridloom.operators import geometry
-from gridloom.plans import page_queries
+from gridloom.plans import page_oracles, page_queries
 
 NAMES = "image string, id long, x0 double, y0 double, x1 double, y1 double"
 
@@ -68,3 +69,22 @@ def test_overlap_rate_meets_each_of_many_equal_boxes_once(spark, tmp_path):
     n = 60000
     spark.range(n).select((F.col("id") * 500).alias("p_partkey"), F.lit(3).alias("p_size")).union(spark.sql("select 1L, 3")).write.parquet(f"{tmp_path}/part.parquet")
     assert page_queries.rect_overlap_rate(spark, str(tmp_path)).collect() == [(round(100 * n / (n + 1), 6),)]
+
+
+def test_crossings_equal_sql_for_equal_ids_and_sizes_below_zero(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(r.choice((0, 500, 500, 1000, 7, 507, -300)) + 3500 * r.randrange(4), r.randrange(-50, 51)) for _ in range(400)] + [(None, 3), (500, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, page_queries.segment_crossings(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.sql(page_oracles.SQL["segment_crossings"]).fetchall()
+    assert len(want) > 1000 and got == sorted(want)
+
+
+def test_crossings_carry_ends_through_one_join(spark, tmp_path):
+    """Before, each pair of boxes was joined with both of its boxes again."""
+    spark.createDataFrame([(500 * i, 48) for i in range(50)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    out = page_queries.segment_crossings(spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert out.count() == 50 * 49 // 2
