@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.plans.scratch import shared_dir
+from gridloom.plans.scratch import release, shared_dir
 from gridloom.plans.shipping import ship
 
 #: A word, by the contracts: a run of bytes other than ASCII white space.
@@ -44,6 +44,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.mode("overwrite").parquet(path)
+        release(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._gridloom_path = path
         return out

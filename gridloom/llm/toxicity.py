@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import tokens
 from gridloom.llm.common import distinct_labels, fold, list_array, map_text, only
+from gridloom.plans.scratch import release
 
 POSITIVES, NEGATIVES, FEATURES, SPACE, SPARSE, FOLDS = 4000, 8000, 512, 1 << 20, 120, 3
 RIDGE, FAIRNESS = 0.1, 10.0
@@ -308,6 +309,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
     group = F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(0)).cast("int")
     known = distinct_labels(labels, "toxic").where("y in (0, 1)").withColumn("g", group)
     model = train(only(docs, "doc_id", "text"), known)
+    release(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
